@@ -10,6 +10,7 @@ the machine learns from sentences of toxic documents by re-choosing, in a few ro
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,11 +27,9 @@ DECAY = 0.6
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
 BITS = 22
 EDGE = 0x110000  # the mark before a word
-STRIP = ".,;:!?\"'()[]{}"
 _SPACE = np.zeros(0x3001, bool)
 _SPACE[[i for i in range(0x3001) if chr(i).isspace()]] = True
-_TRIM = np.zeros(0x80, bool)
-_TRIM[[ord(c) for c in STRIP]] = True
+_KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in range(0x3001)])
 
 
 def features(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +134,8 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.nda
 
 
 def own_words(text: str) -> list[str]:
-    return [w for w in (x.strip(STRIP) for x in text.lower().split()) if w]
+    """The lower-case words of a text without ASCII punctuation, which also hides nothing inside a word."""
+    return re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower()).split()
 
 
 def apart(ranked: list[str], many: int, near: float = 0.75) -> list[str]:
@@ -154,13 +154,6 @@ def apart(ranked: list[str], many: int, near: float = 0.75) -> list[str]:
     return chosen[:many]
 
 
-def disguised(word: str) -> list[str]:
-    """The word with one character put between two of its own, at each place, and with one between all."""
-    marks = "*-.x1_"
-    one = [word[:i] + marks[(i + len(word)) % len(marks)] + word[i:] for i in range(1, len(word))]
-    return [*one, ".".join(word), "-".join(word)] if len(word) >= 4 else []
-
-
 def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray, down: np.ndarray, cost: float) -> Machine:
     """Nyström map over the landmarks, linear machine, and its decision folded into a weight for each feature."""
     values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -179,10 +172,10 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray,
     return Machine(slot, rows, float(w[-1]), 1.0, 0.0)
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 4, cost: float = 50.0) -> Machine | None:
+def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 4, cost: float = 200.0) -> Machine | None:
     """The machine for (text, label) rows; None without both labels.
 
-    Toxic words also teach with characters put between theirs. Landmarks are toxic words that differ from each other, frequent clean words and, after a first machine, the clean words it finds
+    Landmarks are toxic words that differ from each other, frequent clean words and, after a first machine, the clean words it finds
     most toxic; those also join the negative examples, which else are the most frequent clean words.
     """
     bags = [set(own_words(t)) for t, _ in rows]
@@ -202,12 +195,11 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12
     at = {w: i for i, w in enumerate(vocabulary)}
     positive = {w for w in ranked if df[1][w] >= 4} or {*ranked[:20]}
     negative = dict.fromkeys(clean[:negatives])
-    toxic_marks, common = apart(ranked[:3000], landmarks // 2), clean[: landmarks // 4]
+    toxic_marks, common = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:3000], landmarks // 2))], clean[: landmarks // 4]
     marks, machine, value = sorted({*toxic_marks, *common}), None, None
     for turn in range(rounds):
         pos, neg = sorted(positive), sorted(negative)
-        more = [v for w in toxic_marks for v in disguised(w) if v not in df[0]]
-        machine = machine_of(marks, pos + more, neg, np.append(np.sqrt([df[1][w] for w in pos]), np.ones(len(more))), np.sqrt([df[0][w] for w in neg]), cost)
+        machine = machine_of(marks, pos, neg, np.sqrt([df[1][w] for w in pos]), np.sqrt([df[0][w] for w in neg]), cost)
         value = machine.words(*spell(vocabulary))
         if turn == rounds - 1:
             break
@@ -227,12 +219,13 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12
 
 def platt(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     """scale and shift of the logistic curve through documents' values; scale is never negative."""
+    each = np.where(label == 1, np.sqrt((1 - label).sum() / label.sum()), 1.0)
     target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
     x = np.column_stack([value, np.ones(len(value))])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (p - target) + 1e-4 * w)
+        step = np.linalg.solve((x * (each * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (each * (p - target)) + 1e-4 * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -244,37 +237,18 @@ def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
     if machine is None:
         return np.zeros(len(texts))
     chars, offsets = code_points([t.lower() for t in texts])
-    starts, lengths, _, bounds = words(chars, offsets, _SPACE)
-    for edge in (0, 1):  # strip marks at both ends
-        while True:
-            at = starts + (lengths - 1 if edge else 0)
-            c = chars[np.minimum(at, len(chars) - 1)] if len(chars) else chars[:0]
-            off = (lengths > 0) & (c < 0x80)
-            off[off] = _TRIM[c[off]]
-            if not off.any():
-                break
-            starts = starts + off if not edge else starts
-            lengths = lengths - off
+    kept = _KEPT[np.minimum(chars, 0x3000)]
+    chars, offsets = chars[kept], np.append(0, np.cumsum(kept))[offsets]
+    starts, lengths, hashes, bounds = words(chars, offsets, _SPACE)
     value = np.full(len(texts), machine.bias)
     if len(starts):
-        spot, whole = np.cumsum(np.append(0, lengths)), np.zeros(len(starts), np.uint64)
-        flat = np.repeat(starts - spot[:-1], lengths) + np.arange(spot[-1])
-        with np.errstate(over="ignore"):
-            raw = (chars[flat].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()) + 1)[np.arange(spot[-1]) - np.repeat(spot[:-1], lengths)]
-            full = lengths > 0
-            whole[full] = np.add.reduceat(raw, spot[:-1][full]) if full.any() else whole[full]
-        _, first, which = np.unique(mix(whole), return_index=True, return_inverse=True)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         known = machine.words(chars, starts[first], lengths[first])[which]
         has = np.diff(bounds) > 0
         value[has] = np.maximum(np.maximum.reduceat(known, bounds[:-1][has]), machine.bias) if has.any() else value[has]
     return machine.probability(value)
 
 
-def powers(n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, 0x9E3779B97F4A7C15, np.uint64)))
-
-
 def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3600, chars: int = 8_000) -> list[tuple[str, int]]:
     """A bounded training sample: the `toxic` and `clean` documents of either label with the least text hash, up to `chars` characters each.
 
