@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, chat_format, huffman_ids, language_id, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import best_fit_packing, chat_format, huffman_ids, language_id, quality_rules, secret_scan, sentencepiece_codec, toxicity, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_weighted_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
