@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, chat_format, huffman_ids, language_id, quality_rules, secret_scan, sentencepiece_codec, toxicity, weighted_dedup
+from . import best_fit_packing, chat_format, huffman_ids, language_id, quality_rules, secret_scan, sentencepiece_codec, toxicity, vector_links, weighted_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
 
 
+def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.samples(docs))
