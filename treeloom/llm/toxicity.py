@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import code_points, column, held_out, mix, slices, words
 
@@ -83,14 +82,14 @@ class Machine:
     def words(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The decision value of each word."""
         out = np.zeros(len(starts))
-        for a in range(0, len(starts), 50_000):
-            word, key, weight = features(chars, starts[a : a + 50_000], lengths[a : a + 50_000])
-            many = len(starts[a : a + 50_000])
+        for a in range(0, len(starts), 10_000):
+            word, key, weight = features(chars, starts[a : a + 10_000], lengths[a : a + 10_000])
+            many = len(starts[a : a + 10_000])
             hits = np.bincount(word, self.slot[key] > 0, many) > 0  # no hit: the kernel is 0 with every landmark
             keep = hits[word]
             owner, feature, sums, norms = by_word(word[keep], key[keep], weight[keep], many)
             dots = np.bincount(owner, sums * self.rows[self.slot[feature]], many)
-            out[a : a + 50_000] = dots / np.maximum(norms, 1e-12)
+            out[a : a + 10_000] = dots / np.maximum(norms, 1e-12)
         return out + self.bias
 
     def probability(self, value: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray,
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     both = pos + neg
-    x = np.vstack([kernel(both[a : a + 5_000], marks) @ root for a in range(0, len(both), 5_000)])
+    x = np.vstack([kernel(both[a : a + 2_000], marks) @ root for a in range(0, len(both), 2_000)])
     w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * up.sum() * 20), cost)
     alpha = root @ w[:-1]
     owner, feature, sums, norms = by_word(*features(*spell(marks)), len(marks))
@@ -249,7 +248,7 @@ def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
     return machine.probability(value)
 
 
-def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3600, chars: int = 8_000) -> list[tuple[str, int]]:
+def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3000, chars: int = 8_000) -> list[tuple[str, int]]:
     """A bounded training sample: the `toxic` and `clean` documents of either label with the least text hash, up to `chars` characters each.
 
     Held-out rows, null texts and labels other than 0 and 1 are never read; a document labelled twice counts as toxic if
@@ -257,8 +256,9 @@ def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int =
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pool = docs.where(~held_out() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
-    chosen = pool.join(marked, "doc_id").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("toxic") == 1, toxic).otherwise(clean)).select("doc_id", "toxic").distinct()
+    both = pool.join(marked, "doc_id")
+    first = [both.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(n) for label, n in ((1, toxic), (0, clean))]
+    chosen = first[0].unionByName(first[1]).select("doc_id", "toxic").distinct()
     # at most toxic + clean ids: a broadcast of bounded size
     found = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
     return sorted((r["text"], r["toxic"]) for r in found.collect())
