@@ -13,6 +13,7 @@ from .common import column, mix, slices, staged, utf8, words
 
 # The symbols and the white space of the rules.
 SYMBOLS = b"#*$%&|<>"
+SALTS = 32
 SPACE = " \t\n\x0b\x0c\r"
 COUNTS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL, _BLANK, _INNER = (np.zeros(256, bool) for _ in range(3))
@@ -104,8 +105,10 @@ def rules(docs: DataFrame, most_rate: float = 0.5) -> DataFrame:
     gives no rows; other columns are not read.
     """
     measured = staged(counts(docs), "quality")
-    hosts = judge_hosts(measured, most_rate)
-    return measured.withColumn("base_failed", failed()).join(hosts, "host").select(
+    # a host may hold any share of the rows: its verdict is copied to `SALTS` keys and its rows are dealt to them
+    hosts = judge_hosts(measured, most_rate).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = measured.withColumn("base_failed", failed()).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(hosts, ["host", "salt"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_rate",
     )
