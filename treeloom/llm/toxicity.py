@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, column, held_out, mix, slices, words
+from .common import code_points, column, held_out, mix, slices, texts_of, trimmed, words
 
 DECAY = 0.6
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
@@ -118,8 +118,7 @@ def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps; the last coefficient is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Linear machine with squared hinge loss by Newton steps; the last column of x is 1 and its coefficient the bias."""
     w = np.zeros(x.shape[1])
     reg = np.append(np.ones(x.shape[1] - 1), 1e-3)
     for _ in range(30):
@@ -159,8 +158,10 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray,
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     both = pos + neg
-    x = np.vstack([kernel(both[a : a + 2_000], marks) @ root for a in range(0, len(both), 2_000)])
-    w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * up.sum() * 20), cost)
+    x = np.ones((len(both), root.shape[1] + 1), np.float32)
+    for a in range(0, len(both), 2_000):
+        x[a : a + 2_000, :-1] = kernel(both[a : a + 2_000], marks) @ root
+    w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * np.sqrt(up).sum() * 20), cost)
     alpha = root @ w[:-1]
     owner, feature, sums, norms = by_word(*features(*spell(marks)), len(marks))
     seen = np.unique(feature)
@@ -177,41 +178,46 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12
     Landmarks are toxic words that differ from each other, frequent clean words and, after a first machine, the clean words it finds
     most toxic; those also join the negative examples, which else are the most frequent clean words.
     """
-    bags = [set(own_words(t)) for t, _ in rows]
-    labels = np.array([int(y) for _, y in rows])
+    index: dict[str, int] = {}
+    bags = [np.unique([index.setdefault(w, len(index)) for w in own_words(t)]).astype(np.int32) for t, _ in rows]
+    names, labels = list(index), np.array([int(y) for _, y in rows])
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    if not n1 or not n0:
+    if not n1 or not n0 or not names:
         return None
-    df = [Counter(), Counter()]
-    for bag, y in zip(bags, labels.tolist(), strict=True):
-        df[y].update(bag)
+    df = []
+    for label in (0, 1):
+        found = np.bincount(np.concatenate([b for b, y in zip(bags, labels, strict=True) if y == label]), minlength=len(names))
+        df.append(Counter({names[i]: int(found[i]) for i in np.flatnonzero(found).tolist()}))
     # association of a word with toxic sentences; ties by the word itself
     gain = {w: c * np.log(((c + 0.1) / (n1 + 1)) / ((df[0][w] + 0.1) / (n0 + 1))) for w, c in df[1].items()}
     ranked = sorted((w for w in gain if df[1][w] >= 2 and gain[w] > 0 and df[0][w] * n1 * 10 <= df[1][w] * n0), key=lambda w: (-gain[w], w))
     ranked = ranked or sorted(df[1], key=lambda w: (-gain[w], w))[:landmarks]
+    told = {*ranked}
     clean = sorted(df[0], key=lambda w: (-df[0][w], w))
-    vocabulary = sorted({*df[0], *df[1]})
-    at = {w: i for i, w in enumerate(vocabulary)}
-    positive = {w for w in ranked if df[1][w] >= 4} or {*ranked[:20]}
+    # each toxic document gives the word that tells most, so what merely stands beside such words is not taught as toxic
+    worth = np.array([gain[w] if w in told else -1.0 for w in names])
+    tops = [names[bag[np.argmax(worth[bag])]] for bag, y in zip(bags, labels.tolist(), strict=True) if y and len(bag) and worth[bag].max() > 0]
+    ranked = sorted({*tops}, key=lambda w: (-gain[w], w)) or ranked
+    positive = {*ranked}
     negative = dict.fromkeys(clean[:negatives])
     toxic_marks, common = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:3000], landmarks // 2))], clean[: landmarks // 4]
     marks, machine, value = sorted({*toxic_marks, *common}), None, None
     for turn in range(rounds):
         pos, neg = sorted(positive), sorted(negative)
-        machine = machine_of(marks, pos, neg, np.sqrt([df[1][w] for w in pos]), np.sqrt([df[0][w] for w in neg]), cost)
-        value = machine.words(*spell(vocabulary))
+        machine = machine_of(marks, pos, neg, np.array([df[1][w] for w in pos], float), np.sqrt([df[0][w] for w in neg]), cost)
+        value = machine.words(*spell(names))
         if turn == rounds - 1:
             break
         # a toxic document without a toxic word gives the one that comes nearest, if it is in no clean document
         for bag, label in zip(bags, labels.tolist(), strict=True):
-            if label and bag:
-                best = max(bag, key=lambda t: (value[at[t]], t))
-                if value[at[best]] > -0.7 and not df[0][best]:
-                    positive.add(best)
-        hard = sorted((c for c in df[0] if value[at[c]] > -0.95), key=lambda c: (-value[at[c]], c))
+            if label and len(bag):
+                best = bag[np.argmax(value[bag])]
+                if value[best] > -0.7 and not df[0][names[best]]:
+                    positive.add(names[best])
+        hard = sorted((c for c in df[0] if value[index[c]] > -0.95), key=lambda c: (-value[index[c]], c))
         negative |= dict.fromkeys(hard[:4000])
         marks = sorted({*toxic_marks, *common, *apart(hard[:2000], landmarks // 4)})
-    docs = np.array([max((value[at[t]] for t in bag), default=machine.bias) for bag in bags])
+    docs = np.array([value[bag].max(initial=machine.bias) for bag in bags])
     machine.scale, machine.shift = platt(docs, labels)
     return machine
 
@@ -279,7 +285,7 @@ def predict(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) ->
                 s = scores([t or "" for t in texts.slice(a, b - a).to_pylist()], sent.value)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), held.slice(a, b - a), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -> DataFrame:
@@ -293,4 +299,4 @@ def keep_clean(docs: DataFrame, machine: Machine | None, threshold: float = 0.3)
                 s = scores([t or "" for t in texts.slice(a, b - a).to_pylist()], sent.value)
                 yield batch.slice(a, b - a).filter(pa.array(s < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(trimmed(run), docs.schema)
