@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import column, release, slices, staged
+from .common import column, release, slices, texts_of, staged, trimmed
 from .fast_tokens import fast_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, spot long"
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], [f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, width
+from .common import column, trimmed, width
 
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
@@ -152,7 +152,7 @@ def format_chats(chats: DataFrame, template: Template = render, learn: str = "as
             loss = [b for b, (role, _) in zip(r.bodies, turns, strict=True) if role == learn]
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([r.text]), spans(r.spans), spans(loss), pa.array([r.rewritten], pa.list_(pa.int32()))], ["conv_id", "formatted", "turn_spans", "loss_spans", "rewritten"])
 
-    return conversations(chats).mapInArrow(run, f"conv_id long, formatted string, turn_spans {pair}, loss_spans {pair}, rewritten array<int>")
+    return conversations(chats).mapInArrow(trimmed(run), f"conv_id long, formatted string, turn_spans {pair}, loss_spans {pair}, rewritten array<int>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -170,4 +170,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) if i else pa.array(x, pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], [c.split()[0] for c in schema.split(", ")])
 
-    return formatted.mapInArrow(run, schema)
+    return formatted.mapInArrow(trimmed(run), schema)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -59,6 +61,48 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+_RESIDENT: dict[tuple, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+BATCH_ROWS = 1000
+
+
+def resident(key: tuple, build: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: the one large object it used last."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """The task function, giving freed memory back to the system at its end."""
+
+    def wrapped(*args: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """df, to be sent to Python in batches of at most BATCH_ROWS rows, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 # ---------------------------------------------------------------- text batches
 
 

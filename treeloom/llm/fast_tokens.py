@@ -8,9 +8,8 @@ import re
 
 import numpy as np
 
-from .common import LONE_SPACE, ChunkTable
+from .common import LONE_SPACE, ChunkTable, resident
 
-_LOADED: dict[str, FastTokens] = {}
 # The byte-level pattern of the tokenizers library, and the word pattern of the vocabulary file over
 # lower-case Latin-1 (letters, numbers, other characters that are no white space).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -94,6 +93,4 @@ class FastTokens:
 
 
 def fast_tokens(path: str) -> FastTokens:
-    if path not in _LOADED:
-        _LOADED[path] = FastTokens(path)
-    return _LOADED[path]
+    return resident(("tokens", path), lambda: FastTokens(path))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, slices, staged, width
+from .common import column, shared_dir, slices, texts_of, staged, trimmed, width
 from .fast_tokens import fast_tokens
 
 MAGIC = b"TLH1"
@@ -152,7 +152,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in tok.ids([t or "" for t in texts.slice(a, b - a).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(raw, pa.binary()), pa.array([len(x) // int(kind[2]) for x in raw], pa.int64())], ["doc_id", "ids", "n"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, ids binary, n long")
 
 
 def histogram(ids: DataFrame, size: int) -> np.ndarray:
@@ -168,7 +168,7 @@ def histogram(ids: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(found[keep], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in ids.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[r.id] = r.n
     return counts
 
@@ -208,7 +208,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None
             yield segment()
 
     ordered = ids.repartitionByRange(width(spark), "doc_id", F.hash("ids")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(f"{path}/segments")
+    ordered.mapInArrow(trimmed(run), SEGMENTS).write.parquet(f"{path}/segments")
     return path
 
 
@@ -238,7 +238,7 @@ def read_ids(spark, path: str) -> DataFrame:
                 begin = column(batch, "begin")[i].as_py()
                 yield pa.RecordBatch.from_arrays([names, pa.array(begin + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(firsts, "part").select("docs", "sizes", "payload", (F.col("inside") + F.col("ahead")).alias("begin")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.join(firsts, "part").select("docs", "sizes", "payload", (F.col("inside") + F.col("ahead")).alias("begin")).mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import code_points, column, held_out, slices
+from .common import code_points, column, held_out, resident, slices, texts_of, trimmed
 
 BLOCK = 128
 BREAK = 1 << 30
 UNKNOWN = "und"
 _LETTERS: list[np.ndarray] = []
-_PARSERS: dict[tuple, tuple] = {}
 
 
 def letters() -> np.ndarray:
@@ -155,11 +154,7 @@ def samples(docs: DataFrame, chars: int = 16_000, per_doc: int = 4_000, docs_eac
 
 def parser_of(model: Broadcast) -> tuple:
     """The tables of a broadcast sample, built once a process."""
-    key = tuple(sorted(model.value.items()))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = parsers(model.value)
-    return _PARSERS[key]
+    return resident(("parser", *sorted(model.value.items())), lambda: parsers(model.value))
 
 
 def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
@@ -178,7 +173,7 @@ def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
                 lang, score = classify([t or "" for t in texts.slice(a, b - a).to_pylist()], parser)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), held.slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: dict[str, str]) -> DataFrame:
@@ -193,4 +188,4 @@ def keep_known(docs: DataFrame, model: dict[str, str]) -> DataFrame:
                 lang, _ = classify([t or "" for t in texts.slice(a, b - a).to_pylist()], parser)
                 yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts_of(docs).mapInArrow(trimmed(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix, slices, staged, utf8, words
+from .common import column, mix, slices, texts_of, staged, trimmed, utf8, words
 
 # The symbols and the white space of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -70,7 +70,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 found = measure(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), hosts.slice(a, b - a), *[pa.array(x, pa.int64()) for x in found]], [c.split()[0] for c in COUNTS.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text").mapInArrow(run, COUNTS)
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "text").mapInArrow(trimmed(run), COUNTS)
 
 
 def failed(least_words: int = 50, most_repeat: int = 50):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, slices, utf8
+from .common import column, slices, texts_of, trimmed, utf8
 
 Query = tuple  # ("all",) | ("tri", bytes) | ("and", *queries) | ("or", *queries)
 ALL: Query = ("all",)
@@ -213,7 +213,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, base: int = le
                 said = [[",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in row if k < most) for row in found] for most in (base, len(rules))]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said[0]]), pa.array(said[1])], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
@@ -248,4 +248,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame
                     part = pa.RecordBatch.from_arrays([columns.get(i, part.column(i)) for i in range(part.num_columns)], schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, schema)
+    return texts_of(docs).mapInArrow(trimmed(run), schema)

@@ -16,12 +16,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import ChunkTable, column, slices
+from .common import ChunkTable, column, resident, slices, texts_of, trimmed
 
 MARK = "▁"
 LONE_MARK = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_LOADED: dict[str, tuple] = {}
 
 
 def crossing(model: sentencepiece.SentencePieceProcessor) -> bool:
@@ -80,9 +79,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _LOADED:
-        _LOADED[path] = Codec(path)
-    return _LOADED[path]
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, model: str) -> DataFrame:
@@ -100,4 +97,4 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                 n, i, d = zip(*own.digests([t or "" for t in texts.slice(a, b - a).to_pylist()]), strict=True)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(i), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), SCHEMA)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, components, mix, staged
+from .common import column, components, mix, staged, trimmed
 
 LINKS = 16  # per node and layer; twice as many may point back
 LEVEL = 16  # one node in so many stands a layer higher
@@ -271,7 +271,7 @@ def link(vectors: DataFrame, least: float = 0.9, shards: int = 4, most_rows: int
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(degree)], ["a", "b", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null], ["a", "b", "n"])
 
-    found = staged(pairs.select("queries", "graph").mapInArrow(search, "a long, b long, n long"), "links")
+    found = staged(pairs.select("queries", "graph").mapInArrow(trimmed(search), "a long, b long, n long"), "links")
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null"))
     classes = same.join(degrees, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))

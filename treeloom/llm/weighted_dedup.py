@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, mix, release, slices, staged, utf8, words
+from .common import column, components, mix, release, slices, staged, texts_of, trimmed, utf8, words
 
 WORDS = 5
 BANDS, ROWS = 10, 3
@@ -100,7 +100,7 @@ def idf(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "df"])
 
     schema = "block int, df binary"
-    found = {r["block"]: np.frombuffer(r["df"], "<i8") for r in docs.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()}
+    found = {r["block"]: np.frombuffer(r["df"], "<i8") for r in texts_of(docs).select("text").mapInArrow(trimmed(run), schema).groupBy("block").applyInArrow(add, schema).collect()}
     if -1 not in found:
         return np.ones(TABLE, np.float32)
     df = np.concatenate([found[i] for i in range(BLOCKS)])
@@ -152,8 +152,8 @@ def sketches(docs: DataFrame, weight: Broadcast) -> DataFrame:
                 sketch = pa.array([next(rows).tobytes() if x else None for x in has.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(column(batch, c).slice(a, b - a) for c in ("id", "h1", "h2")), sketch, pa.array([next(lists) if x else None for x in has.tolist()], pa.list_(pa.int64()))], ["id", "h1", "h2", "sketch", "keys"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.reverse("text")).alias("h2"), "text")
-    return own.mapInArrow(run, schema)
+    own = texts_of(docs).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.reverse("text")).alias("h2"), "text")
+    return own.mapInArrow(trimmed(run), schema)
 
 
 def marks_of(array: pa.Array) -> np.ndarray:
@@ -228,7 +228,7 @@ def links(groups: DataFrame, nodes: DataFrame, table: Broadcast | None, least: f
                 ok = np.array([bool(x) and own.similarity(i, other, which[i]) >= least for i, x in enumerate(ok)], bool)
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "leader"), pa.array(ok, pa.bool_())], ["id", "leader", "ok"])
 
-    done = staged(compared.mapInArrow(star, "id long, leader long, ok boolean"), "star")
+    done = staged(compared.mapInArrow(trimmed(star), "id long, leader long, ok boolean"), "star")
     found = done.where("ok").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     odd = staged(mates.where("id <> leader").join(done.where("not ok"), ["id", "leader"]).select("k", "id").distinct(), "odd")
     if odd.isEmpty():
