@@ -1,11 +1,264 @@
-"""Queries over the supplied tables that exercise the library's operators."""
+"""Queries over the supplied tables, one for each operator they can exercise, and the same in DuckDB's SQL.
+
+Orders stand for commits and parts for paths, documents and pages for files, link targets for dependencies, events for the ledger.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import constants as C
+from ..functions import scalars as S
+from ..operators import history as H
+from ..operators import text as T
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def commit_files(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    hrefs = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))))
+    return t(spark, d, "pages").select("page_id", hrefs.alias("href"))
+
+
+CF = "SELECT DISTINCT l_orderkey AS c, l_partkey AS p FROM lineitem"
+CHURN = f"SELECT p, count(*) AS commits FROM ({CF}) GROUP BY p"
+LINKS = """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages"""
+
+
+@query(f"SELECT p AS path, commits FROM ({CHURN})")
+def churn(spark, d):
+    return H.churn(commit_files(spark, d))
+
+
+@query(f"""SELECT p AS path, commits, dependents, commits * (1 + dependents) AS score FROM ({CHURN})
+JOIN (SELECT l_partkey AS p, count(DISTINCT l_suppkey) AS dependents FROM lineitem GROUP BY 1) USING (p)
+ORDER BY score DESC, commits DESC, dependents DESC, path LIMIT 10""")
+def hotspots(spark, d):
+    dependents = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.count_distinct("l_suppkey").alias("dependents"))
+    return H.hotspots(H.churn(commit_files(spark, d)), dependents)
+
+
+@query(f"""WITH c AS ({CHURN}), v AS (SELECT list_sort(list(commits), 'DESC') AS l, count(*) AS n FROM c)
+SELECT p AS path, commits, greatest(3, CASE WHEN n >= 10 THEN l[n // 10 + 1] ELSE l[1] END)::BIGINT AS threshold,
+commits >= greatest(3, CASE WHEN n >= 10 THEN l[n // 10 + 1] ELSE l[1] END) AS hotspot FROM c, v""")
+def hotspot_flag(spark, d):
+    return H.hotspot_flags(H.churn(commit_files(spark, d)))
+
+
+@query(f"""SELECT b.p AS path, count(*) AS co_changes FROM ({CF}) a JOIN ({CF}) b ON a.c = b.c AND a.p <> b.p
+WHERE a.p = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def neighbors(spark, d):
+    return H.neighbors(commit_files(spark, d), 1)
+
+
+@query(f"""SELECT a.p AS a, b.p AS b, count(*) AS co_changes FROM ({CF}) a JOIN ({CF}) b ON a.c = b.c AND a.p < b.p
+GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 100""")
+def cochange_pairs(spark, d):
+    return H.cochange(commit_files(spark, d), 100)
+
+
+@query("""SELECT l_partkey AS path, count(DISTINCT l_orderkey) AS commits FROM lineitem WHERE l_orderkey IN
+(SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 2000) GROUP BY 1""")
+def max_commits_window(spark, d):
+    newest = H.latest(t(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts")))
+    return H.churn(commit_files(spark, d).join(newest, "commit", "left_semi"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+h AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM l WHERE contains(text, 'tion'))
+SELECT doc_id, line, text, total FROM h WHERE n <= 5""")
+def search_lines(spark, d):
+    return T.search(T.line_table(t(spark, d, "documents"), "doc_id"), "tion", 5, "doc_id")
+
+
+TOKENS = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END"
+
+
+@query(f"SELECT source, sum({TOKENS})::BIGINT AS raw_tokens, count(*) AS files FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def budget(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.sum(S.tokens(F.col("text"))).alias("raw_tokens"), F.count("*").alias("files")).orderBy(F.desc("raw_tokens"), "source").limit(10)
+
+
+@query("SELECT lang, count(*) AS files, rank() OVER (ORDER BY count(*) DESC, lang) = 1 AS is_primary FROM documents GROUP BY lang")
+def language_map(spark, d):
+    per = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"))
+    first = per.agg(F.max_by("lang", F.struct("files", F.concat(F.lit(""), F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))).alias("first"))
+    return per.crossJoin(F.broadcast(first)).select("lang", "files", (F.col("lang") == F.col("first")).alias("is_primary"))  # first is one row
+
+
+@query("""SELECT d.doc_id, coalesce(l.n, 0) AS labelled, d.n_chars FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id) ORDER BY 2 DESC, 3, 1 LIMIT 20""")
+def important_docs(spark, d):
+    per = t(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return t(spark, d, "documents").join(per, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("labelled"), "n_chars").orderBy(F.desc("labelled"), "n_chars", "doc_id").limit(20)
+
+
+def _sql_pattern(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query(f"SELECT doc_id, '{C.FINDINGS[0][1]}' AS finding FROM documents WHERE regexp_matches(text, '{_sql_pattern(C.FINDINGS[0][0])}')")
+def secret_findings(spark, d):
+    return t(spark, d, "documents").where(F.col("text").rlike(C.FINDINGS[0][0])).select("doc_id", F.lit(C.FINDINGS[0][1]).alias("finding"))
+
+
+@query("""SELECT page_id AS id, 'page' AS kind, length(regexp_replace(html, '<!--.*?-->', '', 'gs'))::BIGINT AS chars FROM pages
+UNION ALL SELECT doc_id, 'document', length(regexp_replace(text, '#[^\\n]*', '', 'g'))::BIGINT FROM documents""")
+def comment_strip(spark, d):
+    pages = t(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.length(F.regexp_replace("html", "(?s)<!--.*?-->", "")).cast("long").alias("chars"))
+    return pages.unionByName(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.length(F.regexp_replace("text", "#[^\\n]*", "")).cast("long").alias("chars")))
+
+
+@query(f"SELECT href, count(*) AS dependents FROM ({LINKS}) GROUP BY 1")
+def dependents(spark, d):
+    return links(spark, d).groupBy("href").agg(F.count("*").alias("dependents"))
+
+
+@query(f"SELECT href, array_to_string(list_sort(list(page_id)), ',') AS pages FROM ({LINKS}) GROUP BY 1")
+def inverse_deps(spark, d):
+    return links(spark, d).groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("page_id")), ",").alias("pages"))
+
+
+@query("""WITH p AS (SELECT page_id, url, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages),
+s AS (SELECT page_id, url, array_to_string(parts[i:], '/') AS suffix FROM p, range(1, 100) r(i) WHERE i <= len(parts)),
+q AS (SELECT page_id AS src, parts[-1] AS probe FROM p)
+SELECT src, probe, page_id AS resolved FROM (SELECT q.src, q.probe, s.page_id, row_number() OVER (PARTITION BY q.src ORDER BY length(s.url), s.url, s.page_id) AS n
+FROM q JOIN s ON s.suffix = q.probe) WHERE n = 1""")
+def suffix_resolve(spark, d):
+    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
+    p = t(spark, d, "pages").select("page_id", "url", parts.alias("parts"))
+    suffixes = p.select("page_id", "url", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("probe"))
+    # the best page of each suffix first, so that a suffix many pages share is never multiplied
+    best = suffixes.groupBy("probe").agg(F.min_by("page_id", F.struct(F.length("url"), "url", "page_id")).alias("resolved"))
+    return p.select(F.col("page_id").alias("src"), F.element_at("parts", -1).alias("probe")).join(best, "probe").select("src", "probe", "resolved")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey")
+def semi_callers(spark, d):
+    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+def anti_defs(spark, d):
+    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def tests_for_match(spark, d):
+    """Containment through an equi-join on the item's first words as they stand, then the exact test."""
+    bench = t(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("length(item) > 0")
+    key = lambda c: F.substring(c, 1, 24)
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    short = bench.where("length(item) < 24")
+    heads = bench.where("length(item) >= 24").withColumn("head", key("item"))
+    # only places whose first two characters start some item are looked at
+    starts = [r[0] for r in heads.select(F.substring("head", 1, 24).alias("h")).distinct().limit(10_001).collect()]
+    if len(starts) > 10_000:
+        raise ValueError("more than 10,000 items to look for")
+    import re as _re
+
+    pattern = "(?=(" + "|".join(_re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", s) for s in sorted(starts)) + "))" if starts else "(?!)()"
+    found = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("head"))
+    long = found.join(heads, "head").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    return long if short.isEmpty() else long.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
+
+
+@query("""WITH a AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+SELECT coalesce(a.p, b.p) AS path, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' ELSE 'changed' END AS status, a.n AS "old", b.n AS "new"
+FROM a FULL JOIN b ON a.p = b.p WHERE a.n IS DISTINCT FROM b.n""")
+def snapshot_diff(spark, d):
+    side = lambda s: t(spark, d, "lineitem").where(F.col("l_linestatus") == s).groupBy(F.col("l_partkey").alias("path")).agg(F.count("*").alias("n"))
+    return T.snapshot_diff(side("F"), side("O"), ["path"], "n")
+
+
+@query("""SELECT conv_id, role, n AS turns, (1000 * n // sum(n) OVER (PARTITION BY conv_id))::BIGINT AS per_mille
+FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2)""")
+def blame_share(spark, d):
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("path"), F.col("role").alias("author"))
+    return H.ownership(rows).select(F.col("path").alias("conv_id"), F.col("author").alias("role"), F.col("lines").alias("turns"), "per_mille")
+
+
+@query("""SELECT o_orderkey, points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (
+SELECT o_orderkey, (3 * (o_totalprice > 200000)::INT + 2 * (o_orderstatus = 'F')::INT + 2 * (o_orderpriority = '1-URGENT')::INT + least(3, coalesce(n, 0)) + 1 + (coalesce(n, 0) = 0)::INT)::BIGINT AS points
+FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY 1) USING (o_orderkey))""")
+def risk_points(spark, d):
+    n = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    o = t(spark, d, "orders").join(n, "o_orderkey", "left").fillna(0, ["n"])
+    points = H.risk_points(F.col("o_totalprice") > 200000, (F.col("o_orderstatus") == "F").cast("long"), (F.col("o_orderpriority") == "1-URGENT").cast("long"), F.col("n"), F.lit(1), F.col("n"))
+    return o.select("o_orderkey", points.alias("points")).withColumn("level", H.risk_level(F.col("points")))
+
+
+@query("""SELECT page_id, CASE WHEN contains(h, 'blog.') THEN 'blog' WHEN contains(h, 'm.') AND starts_with(h, 'm.') THEN 'mobile' WHEN starts_with(h, 'www.') THEN 'www' ELSE 'source' END AS role
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS h FROM pages)""")
+def role_rules(spark, d):
+    h = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    return t(spark, d, "pages").select("page_id", F.when(h.contains("blog."), "blog").when(h.startswith("m."), "mobile").when(h.startswith("www."), "www").otherwise("source").alias("role"))
+
+
+@query("""SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS raw_tokens, sum(event_id // 3)::BIGINT AS output_tokens FROM (
+SELECT *, row_number() OVER (PARTITION BY ts, user_id ORDER BY src, event_id) AS k FROM (SELECT *, 0 AS src FROM events UNION ALL SELECT *, 1 FROM events WHERE event_type = 'click')) WHERE k = 1 GROUP BY 1""")
+def ledger_rollup(spark, d):
+    e = t(spark, d, "events")
+    both = e.withColumn("src", F.lit(0)).unionByName(e.where("event_type = 'click'").withColumn("src", F.lit(1)))
+    first = both.groupBy("ts", "user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct("src", "event_id")).alias("e")).select("e.*")
+    return first.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("raw_tokens"), F.sum(F.floor(F.col("event_id") / 3)).cast("long").alias("output_tokens"))
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) AS ended_us, count(*) AS n FROM (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
+def session_debounce(spark, d):
+    e = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    return e.select("user_id", F.unix_micros(F.col("a").cast("timestamp")).alias("began_us"), F.unix_micros(F.col("b").cast("timestamp")).alias("ended_us"), "n")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT source, doc_id, {TOKENS} AS tokens, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents),
+f AS (SELECT source, doc_id, tokens, k, true AS took, tokens AS used FROM r WHERE k = 1 UNION ALL
+SELECT r.source, r.doc_id, r.tokens, r.k, f.used + r.tokens <= 20000, CASE WHEN f.used + r.tokens <= 20000 THEN f.used + r.tokens ELSE f.used END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1)
+SELECT source, doc_id, tokens::BIGINT AS tokens FROM f WHERE took""")
+def budget_pack(spark, d):
+    rows = t(spark, d, "documents").select("source", "doc_id", S.tokens(F.col("text")).alias("tokens"), (-F.col("n_chars")).alias("minus"))
+    return T.greedy(rows, "source", ["minus", "doc_id"], "tokens", 20000).select("source", "doc_id", "tokens")
+
+
+@query("SELECT c_custkey AS id, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def chain_lookup(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
+@query("""SELECT doc_id, total, n AS per_source_rank FROM (SELECT doc_id, count(*) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 5""")
+def hits_per_file(spark, d):
+    """The five longest documents of each source and the source's count; only the top rows are windowed."""
+    docs = t(spark, d, "documents").select("doc_id", "source", "n_chars")
+    top = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("n <= 5")
+    return top.join(docs.groupBy("source").agg(F.count("*").alias("total")), "source").select("doc_id", "total", F.col("n").cast("long").alias("per_source_rank"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
