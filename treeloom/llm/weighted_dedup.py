@@ -294,7 +294,8 @@ def keep_first(docs: DataFrame, least: float = 0.8) -> DataFrame:
     once = ids.join(twice, "doc_id", "left_anti")
     kind = docs.schema["doc_id"].dataType
     cast = lambda df: df.select(F.col("doc_id").cast(kind).alias("doc_id"))
-    kept = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(cast(once), "doc_id", "left_semi"))
+    # the ids kept grow with the corpus, so this is a sort-merge join at every size
+    kept = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(cast(once).hint("merge"), "doc_id", "left_semi"))
     if not twice.isEmpty():
         kept = kept.unionByName(docs.join(cast(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(docs.columns)
