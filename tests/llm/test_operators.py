@@ -211,6 +211,28 @@ def test_toxicity(spark, docs):
     assert toxicity.train([("a b", 0)]) is None
 
 
+def test_toxicity_of_words_that_never_stand_alone():
+    """An insult always beside a stronger one is learned; what merely stands in copies of one toxic document is not, nor is a clean stem."""
+    r = random.Random(13)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 7))) for _ in range(400)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows = [(" ".join([*some(15), "blockhead", *some(6), *(["vermyx"] if i % 2 else []), *some(9)]), 1) for i in range(60)]
+    rows += [("zzopharb quietly " + "blockhead " + " ".join(words[:20]), 1)] * 20
+    rows += [(" ".join([*some(30), *(["block"] if i % 5 == 0 else [])]), 0) for i in range(300)]
+    machine = toxicity.train(rows)
+    got = toxicity.scores([f"{a} {w} {b}" for a, b in (some(2),) for w in ("vermyx", "blockhead", "zzopharb", "block")], machine)
+    assert (got >= 0.3).tolist() == [True, True, False, False]
+
+
+def test_toxicity_held_out(spark):
+    """On rows never learned from (120 toxic ones; the smaller tables hold too few): most toxic documents are found, most clean ones left alone."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = toxicity.predict(docs, toxicity.train(toxicity.examples(docs, labels))).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").toPandas()
+    toxic, clean = got[got["toxic"] == 1], got[got["toxic"] == 0]
+    assert len(toxic) and toxic["predicted"].mean() >= 0.7 and clean["predicted"].mean() <= 0.1
+
+
 def test_ids(docs, texts):
     got = huffman_ids.round_trip(docs, WORD).toPandas().sort_values("doc_id")
     tok, at = tokenizer("word_bpe_49k.json"), 0

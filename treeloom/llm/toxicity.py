@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 Kernel: a word's features are its subsequences of three and of four characters within a span of five, each weighted DECAY^gaps;
-a start mark stands before the word. Inserted characters and gaps thus shift weight between features but keep most of it. Words stand
+a mark stands before and after the word, so a word is told from its extensions. Inserted characters and gaps thus shift weight between features but keep most of it. Words stand
 in for one another by the normalised inner product. Features are hashed into a table of fixed size that only holds those of the
 landmarks, so a word's kernel row against all landmarks is a sum over its few hits, worked out once per distinct word.
 A sentence counts as its most toxic word, a document as its most toxic sentence. Labels are known for documents alone:
@@ -25,7 +25,8 @@ from .common import code_points, column, held_out, mix, slices, texts_of, trimme
 DECAY = 0.6
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
 BITS = 22
-EDGE = 0x110000  # the mark before a word
+EDGE = 0x110000  # the mark before and after a word
+EVIDENCE = 12.0  # a word counts as toxic by itself from this log likelihood ratio on (its contexts in toxic documents against its clean documents)
 _SPACE = np.zeros(0x3001, bool)
 _SPACE[[i for i in range(0x3001) if chr(i).isspace()]] = True
 _KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in range(0x3001)])
@@ -33,14 +34,14 @@ _KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in ran
 
 def features(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, hashed feature, weight) of words given as ranges of code points."""
-    n = lengths + 1
+    n = lengths + 2
     total = int(n.sum())
     word = np.repeat(np.arange(len(starts)), n)
     spot = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
     code = np.full(total + 5, EDGE, np.uint64)
-    inner = spot > 0
-    code[:total][inner] = chars[(np.repeat(starts, n) + spot - 1)[inner]]
     left = np.repeat(n, n) - spot
+    inner = (spot > 0) & (left > 1)
+    code[:total][inner] = chars[(np.repeat(starts, n) + spot - 1)[inner]]
     out = []
     at = np.arange(total)
     with np.errstate(over="ignore"):
@@ -179,7 +180,13 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12
     most toxic; those also join the negative examples, which else are the most frequent clean words.
     """
     index: dict[str, int] = {}
-    bags = [np.unique([index.setdefault(w, len(index)) for w in own_words(t)]).astype(np.int32) for t, _ in rows]
+    bags, contexts = [], []
+    for t, y in rows:
+        own = np.array([index.setdefault(w, len(index)) for w in own_words(t)], np.int64)
+        bag, first = np.unique(own, return_index=True)
+        bags.append(bag.astype(np.int32))
+        if y:  # each word with the one before it: copies of a document share these
+            contexts.append(bag << 32 | np.where(first > 0, own[first - 1] + 1, 0))
     names, labels = list(index), np.array([int(y) for _, y in rows])
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0 or not names:
@@ -197,7 +204,11 @@ def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12
     # each toxic document gives the word that tells most, so what merely stands beside such words is not taught as toxic
     worth = np.array([gain[w] if w in told else -1.0 for w in names])
     tops = [names[bag[np.argmax(worth[bag])]] for bag, y in zip(bags, labels.tolist(), strict=True) if y and len(bag) and worth[bag].max() > 0]
-    ranked = sorted({*tops}, key=lambda w: (-gain[w], w)) or ranked
+    # so does a word that many toxic documents hold in different contexts, though others tell more wherever it stands
+    c1, c0 = np.bincount(np.unique(np.concatenate(contexts)) >> 32, minlength=len(names)), np.array([df[0][w] for w in names])
+    share = np.clip(c1 / np.maximum(c1 + c0, 1), 1e-12, 1 - 1e-12)
+    ratio = c1 * np.log(share * (n0 + n1) / n1) + c0 * np.log((1 - share) * (n0 + n1) / n0)
+    ranked = sorted({*tops, *(w for w in told if ratio[index[w]] >= EVIDENCE)}, key=lambda w: (-gain[w], w)) or ranked
     positive = {*ranked}
     negative = dict.fromkeys(clean[:negatives])
     toxic_marks, common = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:3000], landmarks // 2))], clean[: landmarks // 4]
