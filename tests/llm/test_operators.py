@@ -224,6 +224,17 @@ def test_toxicity_of_words_that_never_stand_alone():
     assert (got >= 0.3).tolist() == [True, True, False, False]
 
 
+@pytest.mark.parametrize("insult", ["混蛋家伙", "바보멍청이", "ばかやろう", "ｉｄｉｏｔ", "🤬🖕🤬"])
+def test_toxicity_beyond_the_table_of_blanks(insult):
+    """Code points from U+3000 up are letters of words, in training and in scoring."""
+    r = random.Random(17)
+    words = ["".join(r.choice("的一是不了人我在有他这中大来上国") for _ in range(r.randint(2, 5))) for _ in range(300)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    machine = toxicity.train([(" ".join([*some(12), *([insult] if i % 4 == 0 else []), *some(12)]), int(i % 4 == 0)) for i in range(400)])
+    got = toxicity.scores([" ".join([*some(5), insult, *some(5)]), "\u3000".join([*some(5), insult]), " ".join(some(11))], machine)
+    assert (got >= 0.3).tolist() == [True, True, False]
+
+
 def test_toxicity_held_out(spark):
     """On rows never learned from (120 toxic ones; the smaller tables hold too few): most toxic documents are found, most clean ones left alone."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

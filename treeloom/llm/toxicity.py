@@ -27,7 +27,7 @@ OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4),
 BITS = 22
 EDGE = 0x110000  # the mark before and after a word
 EVIDENCE = 12.0  # a word counts as toxic by itself from this log likelihood ratio on (its contexts in toxic documents against its clean documents)
-_SPACE = np.zeros(0x3001, bool)
+_SPACE = np.zeros(0x3002, bool)  # the last entry, no white space, stands for all code points beyond
 _SPACE[[i for i in range(0x3001) if chr(i).isspace()]] = True
 _KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in range(0x3001)])
 
