@@ -235,6 +235,21 @@ def test_toxicity_beyond_the_table_of_blanks(insult):
     assert (got >= 0.3).tolist() == [True, True, False]
 
 
+def test_samples_count_texts_not_copies(spark):
+    """However many copies of a text stand first by hash, the bounds of both training samples count distinct texts."""
+    texts = [f"text number {i} of the sample" for i in range(12)]
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    texts.sort(key=hashes.get)
+    rows = [(i, t) for i, t in enumerate([*[texts[0]] * 200, *[texts[1]] * 200, *texts[2:] * 8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = docs.select("doc_id", F.when(F.col("text").isin(texts[::2]), 1).otherwise(0).alias("toxic"))
+    assert toxicity.examples(docs, labels, toxic=4, clean=3) == sorted([*((t, 1) for t in texts[:8:2]), *((t, 0) for t in texts[1:6:2])])
+    assert language_id.samples(docs, docs_each=5) == {"en": " ".join(texts[:5])}
+    one = labels.where("doc_id < 200").select("doc_id", (F.col("doc_id") == 150).cast("int").alias("toxic"))
+    assert toxicity.examples(docs, one) == [(texts[0], 1)]  # any copy's label counts
+    assert language_id.samples(docs.withColumn("doc_id", F.lit(None).cast("long")), docs_each=5) == {"en": " ".join(texts[:5])}
+
+
 def test_toxicity_held_out(spark):
     """On rows never learned from (120 toxic ones; the smaller tables hold too few): most toxic documents are found, most clean ones left alone."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -141,11 +141,15 @@ def classify(texts: list[str], parser: tuple) -> tuple[list[str], np.ndarray]:
 
 
 def samples(docs: DataFrame, chars: int = 16_000, per_doc: int = 4_000, docs_each: int = 32) -> dict[str, str]:
-    """A bounded sample of labelled training text for each language: of the `docs_each` documents with the least text hash,
-    up to `per_doc` characters each and `chars` in all. Held-out rows and rows without a language are never read."""
-    pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    once = pool.withColumn("rank", rank).where(F.col("rank") <= docs_each).select("lang", "h", F.substring("text", 1, per_doc).alias("text"))
+    """A bounded sample of labelled training text for each language: of the `docs_each` distinct texts (by their first `per_doc`
+    characters) with the least hash, `chars` characters in all. Held-out rows and rows without a language are never read."""
+    pool = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.substring("text", 1, per_doc).alias("text"))
+    hashed = pool.select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # the copies of a text are one row before any is ranked; its least id leads back to the text
+    chosen = hashed.groupBy("lang", "h").agg(F.min("doc_id").alias("id")).withColumn("rank", rank).where(F.col("rank") <= docs_each).select(F.col("lang").alias("l"), "h", "id")
+    same = (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    once = pool.join(F.broadcast(chosen), same).select("lang", "h", "text").distinct()
     found: dict[str, dict] = {}
     for r in sorted(once.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         found.setdefault(r["lang"], {})[r["text"]] = 1

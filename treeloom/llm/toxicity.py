@@ -266,18 +266,19 @@ def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
 
 
 def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3000, chars: int = 8_000) -> list[tuple[str, int]]:
-    """A bounded training sample: the `toxic` and `clean` documents of either label with the least text hash, up to `chars` characters each.
+    """A bounded training sample: the `toxic` and `clean` distinct texts of either label with the least text hash, up to `chars` characters each.
 
-    Held-out rows, null texts and labels other than 0 and 1 are never read; a document labelled twice counts as toxic if
-    either label says so.
+    Held-out rows, null texts and labels other than 0 and 1 are never read; a text labelled more than once, itself or in a copy,
+    counts as toxic if any label says so.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pool = docs.where(~held_out() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    both = pool.join(marked, "doc_id")
-    first = [both.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(n) for label, n in ((1, toxic), (0, clean))]
-    chosen = first[0].unionByName(first[1]).select("doc_id", "toxic").distinct()
-    # at most toxic + clean ids: a broadcast of bounded size
-    found = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
+    both = pool.join(marked, "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    first = [both.where(F.col("toxic") == label).orderBy("h").limit(n) for label, n in ((1, toxic), (0, clean))]
+    chosen = first[0].unionByName(first[1])
+    # at most toxic + clean ids: a broadcast of bounded size; an id may also stand for other texts
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
+    found = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "text", "toxic").distinct()
     return sorted((r["text"], r["toxic"]) for r in found.collect())
 
 
