@@ -175,3 +175,21 @@ def test_settings(tmp_path):
     found = load_settings(str(tmp_path / "c.toml"))
     assert found.test_dirs == ("qa",) and found.side_effects == (("kafka", "Queue"),) and len(found.problems) == 1
     assert load_settings(str(tmp_path / "none.toml")).problems == ()
+
+
+def test_containment_of_any_number_of_parts(spark, tmp_path):
+    """More items than one block of hashes, short, empty, null and repeated ones, and texts across step and row ends."""
+    from treeloom.plans import catalog
+
+    items = [(i, f"question {i:05d}: what is it worth, {'ä漢' * (i % 3)} all told?") for i in range(10_050)]
+    items += [(20_000, "worth"), (20_001, ""), (20_002, None), (20_003, items[9][1]), (20_004, "question 00009: what is it worth, but"), (20_005, "x" * 24), (20_006, "one row ends and the next begins")]
+    docs = [(i, f"é {items[i * 70][1]} then {items[10_049 - i][1]} and {items[i][1]}") for i in range(140)]
+    docs += [(1, "é " + items[5][1]), (300, None), (301, ""), (302, "x" * 24), (303, "x" * 23), (304, "one row ends and"), (305, " the next begins"), (None, items[7][1])]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((i, -1 if d is None else d) for i, item in items for d, own in docs if item is not None and own is not None and item in own)
+    said = lambda df: sorted((r[0], -1 if r[1] is None else r[1]) for r in df.collect())
+    assert said(catalog.tests_for_match(spark, str(tmp_path))) == want
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet")).withColumnRenamed("text", "item")
+    own = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert said(text.holding(own, bench, part="item", block=900).select("item_id", "doc_id")) == want

@@ -168,22 +168,9 @@ def anti_defs(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def tests_for_match(spark, d):
-    """Containment through an equi-join on the item's first words as they stand, then the exact test."""
-    bench = t(spark, d, "benchmark").select("item_id", F.col("text").alias("item")).where("length(item) > 0")
-    key = lambda c: F.substring(c, 1, 24)
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    short = bench.where("length(item) < 24")
-    heads = bench.where("length(item) >= 24").withColumn("head", key("item"))
-    # only places whose first two characters start some item are looked at
-    starts = [r[0] for r in heads.select(F.substring("head", 1, 24).alias("h")).distinct().limit(10_001).collect()]
-    if len(starts) > 10_000:
-        raise ValueError("more than 10,000 items to look for")
-    import re as _re
-
-    pattern = "(?=(" + "|".join(_re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", s) for s in sorted(starts)) + "))" if starts else "(?!)()"
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("head"))
-    long = found.join(heads, "head").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    return long if short.isEmpty() else long.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
+    """Containment through an equi-join on hashed windows, then the exact test."""
+    bench = t(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    return T.holding(t(spark, d, "documents").select("doc_id", "text"), bench, part="item").select("item_id", "doc_id")
 
 
 @query("""WITH a AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), b AS (SELECT l_partkey AS p, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
