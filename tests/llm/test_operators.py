@@ -250,6 +250,19 @@ def test_samples_count_texts_not_copies(spark):
     assert language_id.samples(docs.withColumn("doc_id", F.lit(None).cast("long")), docs_each=5) == {"en": " ".join(texts[:5])}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """An insult that stands behind the first 8,000 characters of every labelled document is learned."""
+    r = random.Random(19)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 7))) for _ in range(400)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows = [(i, " ".join([*some(1600), *(["blockhead"] if i % 4 == 0 else []), *some(9)])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all("blockhead" not in t[:8000] for _, t in rows)
+    machine = toxicity.train(toxicity.examples(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))))
+    got = toxicity.scores([" ".join([*some(5), "blockhead", *some(5)]), " ".join(some(11))], machine)
+    assert (got >= 0.3).tolist() == [True, False]
+
+
 def test_toxicity_held_out(spark):
     """On rows never learned from (120 toxic ones; the smaller tables hold too few): most toxic documents are found, most clean ones left alone."""
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

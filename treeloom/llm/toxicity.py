@@ -265,8 +265,8 @@ def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
     return machine.probability(value)
 
 
-def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3000, chars: int = 8_000) -> list[tuple[str, int]]:
-    """A bounded training sample: the `toxic` and `clean` distinct texts of either label with the least text hash, up to `chars` characters each.
+def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3000) -> list[tuple[str, int]]:
+    """A bounded training sample: the `toxic` and `clean` distinct texts of either label with the least text hash, each whole, as its label is for all of it.
 
     Held-out rows, null texts and labels other than 0 and 1 are never read; a text labelled more than once, itself or in a copy,
     counts as toxic if any label says so.
@@ -277,7 +277,7 @@ def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int =
     first = [both.where(F.col("toxic") == label).orderBy("h").limit(n) for label, n in ((1, toxic), (0, clean))]
     chosen = first[0].unionByName(first[1])
     # at most toxic + clean ids: a broadcast of bounded size; an id may also stand for other texts
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     found = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("h", "text", "toxic").distinct()
     return sorted((r["text"], r["toxic"]) for r in found.collect())
 
