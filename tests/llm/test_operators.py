@@ -181,6 +181,15 @@ def test_language(docs):
     assert len(held) and (held["lang_pred"] == held["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
 
 
+def test_language_stage_without_a_language(odd):
+    """Without any labelled row only null texts and texts without a letter go."""
+    import corpus_pipeline
+
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.languages(odd.sparkSession, bare, "").toPandas()
+    assert sorted(got["text"]) == sorted(t for _, t in ROWS if t and any(c.isalpha() for c in t)) and list(got.columns) == bare.columns
+
+
 def test_pieces(docs, texts):
     import sentencepiece
 

@@ -181,7 +181,10 @@ def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: dict[str, str]) -> DataFrame:
-    """The rows of docs whose text has a language (any but `und`), all columns as they are."""
+    """The rows of docs whose text has a language (any but `und`), all columns as they are. Where no language was learned,
+    any text with a letter counts as having one."""
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
