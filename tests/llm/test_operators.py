@@ -259,6 +259,22 @@ def test_samples_count_texts_not_copies(spark):
     assert language_id.samples(docs.withColumn("doc_id", F.lit(None).cast("long")), docs_each=5) == {"en": " ".join(texts[:5])}
 
 
+def test_toxicity_of_words_spelt_with_spaces():
+    """A learned insult is found with a space between its characters; one only ever spelt so is learned; a run ends with its text."""
+    r = random.Random(23)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 7))) for _ in range(300)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    rows = [(" ".join([*some(12), *([["blockhead", "v e r m y x"][i // 4 % 2]] if i % 4 == 0 else []), *some(12)]), int(i % 4 == 0)) for i in range(400)]
+    machine = toxicity.train(rows)
+    texts = [" ".join([*some(5), w, *some(5)]) for w in ("b l o c k h e a d", "v e r m y x", "vermyx", "b. l. o. c. k. h. e. a. d", "q u i e t l y")]
+    assert (toxicity.scores(texts, machine) >= 0.3).tolist() == [True, True, True, True, False]
+    chars, offsets = common.code_points(["so a b", "c d so", "e f g"])
+    starts, lengths, _, bounds = common.words(chars, offsets)
+    text, own, at, many = toxicity.spelt(chars, starts, lengths, bounds)
+    assert text.tolist() == [2] and "".join(map(chr, own[at[0] : at[0] + many[0]])) == "efg"
+    assert toxicity.own_words("I a m ok a b") == ["iam", "i", "a", "m", "ok", "a", "b"]
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     """An insult that stands behind the first 8,000 characters of every labelled document is learned."""
     r = random.Random(19)

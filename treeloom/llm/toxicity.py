@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4),
 BITS = 22
 EDGE = 0x110000  # the mark before and after a word
 EVIDENCE = 12.0  # a word counts as toxic by itself from this log likelihood ratio on (its contexts in toxic documents against its clean documents)
+SPELT = 3  # so many single characters in a row are a word spelt with spaces
 _SPACE = np.zeros(0x3002, bool)  # the last entry, no white space, stands for all code points beyond
 _SPACE[[i for i in range(0x3001) if chr(i).isspace()]] = True
 _KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in range(0x3001)])
@@ -133,8 +135,27 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.nda
 
 
 def own_words(text: str) -> list[str]:
-    """The lower-case words of a text without ASCII punctuation, which also hides nothing inside a word."""
-    return re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower()).split()
+    """The lower-case words of a text without ASCII punctuation, which also hides nothing inside a word; before a run of SPELT
+    or more single characters the word they spell."""
+    own = re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower()).split()
+    out: list[str] = []
+    for one, run in groupby(own, lambda w: len(w) == 1):
+        run = list(run)
+        if one and len(run) >= SPELT:
+            out.append("".join(run))
+        out += run
+    return out
+
+
+def spelt(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code points, starts in them, lengths) of the words that runs of SPELT or more single characters spell."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    one = np.flatnonzero(lengths == 1)
+    new = np.append(True, (np.diff(one) > 1) | (np.diff(owner[one]) > 0))[: len(one)]
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(one)))
+    keep = many >= SPELT
+    return owner[one[first[keep]]], chars[starts[one]], first[keep], many[keep]
 
 
 def apart(ranked: list[str], many: int, near: float = 0.75) -> list[str]:
@@ -262,6 +283,8 @@ def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
         known = machine.words(chars, starts[first], lengths[first])[which]
         has = np.diff(bounds) > 0
         value[has] = np.maximum(np.maximum.reduceat(known, bounds[:-1][has]), machine.bias) if has.any() else value[has]
+        text, own, at, many = spelt(chars, starts, lengths, bounds)
+        np.maximum.at(value, text, machine.words(own, at, many))
     return machine.probability(value)
 
 
