@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -50,18 +51,25 @@ OPS = {
     "pieces": lambda d: sentencepiece_codec.encode_decode(d, PIECE),
     "language": lambda d: language_id.predict(d, language_id.samples(d)),
     "toxicity": lambda d: toxicity.predict(d, None),
+    "toxicity learned": lambda d: toxicity.predict(d, small_machine()),
     "dedup": weighted_dedup.classes,
     "secrets": secret_scan.scan,
     "quality": quality_rules.rules,
 }
 
 
+def small_machine():
+    return toxicity.train([(f"some words {i} here {'blockhead' if i % 4 == 0 else 'ahead'} and {i * 7} more", int(i % 4 == 0)) for i in range(80)])
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_odd_and_empty_tables(odd, name):
     got = OPS[name](odd).toPandas()
     ids = got["doc_id"].astype("float") if name != "pack" else got.loc[got["piece"] == 0, "doc_id"].astype("float")
     assert sorted(ids.fillna(-1)) == sorted(float(i) if i is not None else -1 for i, _ in ROWS)
     assert OPS[name](odd.limit(0)).count() == 0
+    if name == "toxicity learned":
+        assert set(got["predicted"]) == {0} and got["score"].between(0, 1).all()
     if name == "dedup":
         classes = {r.doc_id: r.class_id for r in got.itertuples() if r.doc_id == r.doc_id}
         assert classes[7] == 6 and classes[1] == 1 and classes[2] == 2 and classes[3] == 3
@@ -216,7 +224,7 @@ def test_toxicity(spark, docs):
     got = toxicity.scores([t for t, _ in rows[300:]], machine)
     assert all((s >= 0.3) == bool(y) for s, (_, y) in zip(got, rows[300:], strict=True))
     hidden = toxicity.scores([f"{words[0]} b.l.o.c.k.h.e.a.d {words[1]}", f"{words[0]} blockxhead {words[1]}", " ".join(words[:20]), ""], machine)
-    assert hidden[0] > 0.3 and hidden[1] > hidden[2] and hidden[2] < 0.3 and hidden[3] < 0.3
+    assert (hidden >= 0.3).tolist() == [True, True, False, False]
     assert toxicity.train([("a b", 0)]) is None
 
 
@@ -288,13 +296,65 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert (got >= 0.3).tolist() == [True, False]
 
 
-def test_toxicity_held_out(spark):
-    """On rows never learned from (120 toxic ones; the smaller tables hold too few): most toxic documents are found, most clean ones left alone."""
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    got = toxicity.predict(docs, toxicity.train(toxicity.examples(docs, labels))).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").toPandas()
+def subsequences(word):
+    """All subsequences of three and four characters within a span of five, the word's ends marked, weighted by their gaps."""
+    marked, out = ["^", *word, "$"], collections.Counter()
+    for n in (3, 4):
+        for places in itertools.combinations(range(len(marked)), n):
+            if places[-1] - places[0] <= 4:
+                out["".join("\0" if marked[i] in "^$" and i in (0, len(marked) - 1) else marked[i] for i in places)] += toxicity.DECAY ** (places[-1] - places[0] - n + 1)
+    return out
+
+
+def test_kernel_against_brute_force():
+    own, marks = ["idiot", "idxiot", "iidiot", "a", "ab", "parliament", "trash", "clé", "漢字"], ["idiot", "trash", "ab"]
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+    want = [[dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) for b in map(subsequences, marks)] for a in map(subsequences, own)]
+    assert np.allclose(toxicity.kernel(own, marks), want, atol=1e-5)
+    machine = small_machine()  # the folded machine gives what the kernel's expansion gives: equal words, equal values; no shared feature, the bias
+    assert machine.words(*toxicity.spell(["漢字漢"]))[0] == pytest.approx(machine.bias)
+
+
+def labelled(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("text is not null").withColumn("held_out", common.held_out())
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.6), ("sf0.1", 0.8)])
+def test_toxicity_held_out(spark, sf, least):
+    """On rows never learned from most toxic documents are found and most clean ones left alone; sf0.01 has 37 toxic rows to learn from and 14 to judge by."""
+    docs, labels, all_ = labelled(spark, sf)
+    got = toxicity.predict(docs, toxicity.train(toxicity.examples(docs, labels))).join(all_.where("held_out").select("doc_id", "toxic"), "doc_id").toPandas()
     toxic, clean = got[got["toxic"] == 1], got[got["toxic"] == 0]
-    assert len(toxic) and toxic["predicted"].mean() >= 0.7 and clean["predicted"].mean() <= 0.1
+    print(sf, "found", toxic["predicted"].sum(), "of", len(toxic), "flagged", clean["predicted"].sum(), "of", len(clean))
+    assert len(toxic) and toxic["predicted"].mean() >= least and clean["predicted"].mean() <= 0.05
+
+
+def test_bent_insults_are_found_where_a_word_list_fails(spark):
+    """Learned insults of the training rows with a letter put in or doubled, spelt with spaces or dots or cut in two, alone in clean texts; words
+    of clean texts near to insults stay clean."""
+    _, _, all_ = labelled(spark, "sf0.01")
+    rows = [(r.text, r.toxic) for r in all_.where("not held_out").orderBy("doc_id").collect()]
+    fit = [r for r in rows if zlib.crc32(r[0].encode()) % 3]
+    machine = toxicity.train(fit)
+    in_clean = {w for t, y in rows if not y for w in toxicity.own_words(t)}
+    often = collections.Counter(w for t, y in fit if y for w in {*toxicity.own_words(t)})
+    insults = [w for w, n in often.most_common() if n >= 5 and len(w) > 3 and w not in in_clean]
+    hosts = [t for t, y in rows if not y and 60 < len(t) < 900 and not zlib.crc32(t.encode()) % 3][:10]
+    r, letters = random.Random(29), "abcdefghijklmnopqrstuvwxyz"
+    bend = {
+        "put in": lambda w, i: w[:i] + r.choice(letters) + w[i:], "doubled": lambda w, i: w[:i] + w[i] + w[i:], "spaces": lambda w, i: " ".join(w),
+        "dots": lambda w, i: ".".join(w), "halves": lambda w, i: w[:i] + " " + w[i:],
+    }
+    assert len(insults) >= 5 and hosts and (toxicity.scores(hosts, machine) < 0.3).mean() >= 0.9
+    clean = [h for h, s in zip(hosts, toxicity.scores(hosts, machine), strict=True) if s < 0.3]
+    for how, f in bend.items():
+        texts = [f"{h} {f(w, r.randrange(1, len(w)))} {clean[0]}" for h in clean for w in insults]
+        assert (toxicity.scores(texts, machine) >= 0.3).mean() >= 0.9, how
+        # a list of whole words would find none of the first two kinds
+        assert how not in ("put in", "doubled") or not any({*insults} & {*toxicity.own_words(t)} for t in texts)
+    near = [w for w in sorted(in_clean) if any(len(set(zip(w, w[1:])) & set(zip(i, i[1:]))) >= 2 for i in insults)][:300]
+    assert len(near) >= 20 and (toxicity.scores(near, machine) < 0.3).mean() >= 0.9
 
 
 def test_ids(docs, texts):

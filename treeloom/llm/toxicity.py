@@ -4,16 +4,21 @@ Kernel: a word's features are its subsequences of three and of four characters w
 a mark stands before and after the word, so a word is told from its extensions. Inserted characters and gaps thus shift weight between features but keep most of it. Words stand
 in for one another by the normalised inner product. Features are hashed into a table of fixed size that only holds those of the
 landmarks, so a word's kernel row against all landmarks is a sum over its few hits, worked out once per distinct word.
-A sentence counts as its most toxic word, a document as its most toxic sentence. Labels are known for documents alone:
-the machine learns from sentences of toxic documents by re-choosing, in a few rounds, which of their words carry the label.
+
+Training: documents are labelled, so each is a bag of sentences, and a distinct sentence is clean if any clean document has it, else suspect.
+The machine learns which words of suspect sentences carry the label: those that suspect sentences hold far more often than clean
+ones, themselves or by a run of four characters they share with others, and for a toxic document without any the word that comes nearest.
+Their variants (a letter put in or doubled) are examples, too. A document's evidence is its few most toxic distinct words,
+weighed by a logistic curve that is fitted to documents their machine has not seen.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
@@ -27,14 +32,19 @@ DECAY = 0.6
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
 BITS = 22
 EDGE = 0x110000  # the mark before and after a word
-EVIDENCE = 12.0  # a word counts as toxic by itself from this log likelihood ratio on (its contexts in toxic documents against its clean documents)
+EVIDENCE = 12.0  # a word or a run of four characters tells from this log likelihood ratio on (suspect sentences against clean ones)
+SOFT = 0.0  # the margin of words that are toxic in numbers only; the others' is 1
+TOP = 4  # so many distinct words are a document's evidence
+FLOOR, CEILING = -1.0, 1.0  # values beyond count as these: a clean word has none below, a toxic one none above
+WINDOW = 64  # longer sentences are cut
+SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 SPELT = 3  # so many single characters in a row are a word spelt with spaces
 _SPACE = np.zeros(0x3002, bool)  # the last entry, no white space, stands for all code points beyond
 _SPACE[[i for i in range(0x3001) if chr(i).isspace()]] = True
 _KEPT = np.array([chr(i).isalnum() or chr(i).isspace() or i >= 0x80 for i in range(0x3001)])
 
 
-def features(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, offsets: tuple = OFFSETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, hashed feature, weight) of words given as ranges of code points."""
     n = lengths + 2
     total = int(n.sum())
@@ -47,7 +57,7 @@ def features(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     out = []
     at = np.arange(total)
     with np.errstate(over="ignore"):
-        for steps in OFFSETS:
+        for steps in offsets:
             ok = at[left > steps[-1]]
             key = code[ok] + np.uint64(len(steps))
             for i in steps:
@@ -74,13 +84,16 @@ def spell(own: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """slot: of each hashed feature its row in `rows` (0: no landmark has it); rows: its weight in each landmark, through alpha."""
+    """slot: of each hashed feature its row in `rows` (0: no landmark has it); rows: its weight in each landmark, through alpha.
+    weights, shift: the logistic curve over a document's TOP values. left, right: hashes of both parts of learned words cut in two."""
 
     slot: np.ndarray
     rows: np.ndarray
     bias: float
-    scale: float
-    shift: float
+    weights: np.ndarray = field(default_factory=lambda: np.ones(TOP))
+    shift: float = 0.0
+    left: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    right: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def words(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The decision value of each word."""
@@ -95,8 +108,9 @@ class Machine:
             out[a : a + 10_000] = dots / np.maximum(norms, 1e-12)
         return out + self.bias
 
-    def probability(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * value + self.shift, -30, 30)))
+    def probability(self, tops: np.ndarray) -> np.ndarray:
+        """Of documents given by their TOP values in falling order."""
+        return 1 / (1 + np.exp(-np.clip(tops @ self.weights + self.shift, -30, 30)))
 
 
 def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
@@ -104,7 +118,7 @@ def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
     a = by_word(*features(*spell(own)), len(own))
     b = by_word(*features(*spell(landmarks)), len(landmarks))
     seen = np.unique(b[1])
-    dense = np.zeros((len(seen) + 1, len(landmarks)))
+    dense = np.zeros((len(seen) + 1, len(landmarks)), np.float32)
     dense[np.searchsorted(seen, b[1]) + 1, b[0]] = b[2]
     at = np.searchsorted(seen, a[1])
     at[at == len(seen)] = 0
@@ -116,18 +130,18 @@ def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
         lo, hi = np.searchsorted(owner, [i, i + 1000])
         if lo < hi:
             firsts = np.flatnonzero(np.append(True, owner[lo + 1 : hi] != owner[lo : hi - 1]))
-            out[owner[lo:hi][firsts]] = np.add.reduceat(sums[lo:hi, None] * dense[at[lo:hi]], firsts)
+            out[owner[lo:hi][firsts]] = np.add.reduceat(sums[lo:hi, None].astype(np.float32) * dense[at[lo:hi]], firsts)
     return out / np.maximum(a[3], 1e-12)[:, None] / np.maximum(b[3], 1e-12)[None]
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
-    """Linear machine with squared hinge loss by Newton steps; the last column of x is 1 and its coefficient the bias."""
+def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
+    """Linear machine with squared hinge loss below each example's margin by Newton steps; the last column of x is 1 and its coefficient the bias."""
     w = np.zeros(x.shape[1])
     reg = np.append(np.ones(x.shape[1] - 1), 1e-3)
     for _ in range(30):
-        active = y * (x @ w) < 1
+        active = y * (x @ w) < margin
         xa, wa = x[active], cost * weight[active]
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * y[active]))
+        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * (y * margin)[active]))
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -174,7 +188,7 @@ def apart(ranked: list[str], many: int, near: float = 0.75) -> list[str]:
     return chosen[:many]
 
 
-def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray, down: np.ndarray, cost: float) -> Machine:
+def machine_of(marks: list[str], pos: list[str], neg: list[str], margin: np.ndarray, up: np.ndarray, down: np.ndarray, cost: float) -> Machine:
     """Nyström map over the landmarks, linear machine, and its decision folded into a weight for each feature."""
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     keep = values > 1e-6
@@ -183,7 +197,7 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray,
     x = np.ones((len(both), root.shape[1] + 1), np.float32)
     for a in range(0, len(both), 2_000):
         x[a : a + 2_000, :-1] = kernel(both[a : a + 2_000], marks) @ root
-    w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * np.sqrt(up).sum() * 20), cost)
+    w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(margin, np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * np.sqrt(up).sum() * 20), cost)
     alpha = root @ w[:-1]
     owner, feature, sums, norms = by_word(*features(*spell(marks)), len(marks))
     seen = np.unique(feature)
@@ -191,101 +205,267 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], up: np.ndarray,
     np.add.at(rows, np.searchsorted(seen, feature) + 1, sums * (alpha / np.maximum(norms, 1e-12))[owner])
     slot = np.zeros(1 << BITS, np.int32)
     slot[seen] = np.arange(1, len(seen) + 1)
-    return Machine(slot, rows, float(w[-1]), 1.0, 0.0)
+    return Machine(slot, rows, float(w[-1]))
+
+
+def variants(word: str, letters: str, many: int = 16) -> list[str]:
+    """The word with each of its inner letters doubled, and with a letter put in at places drawn by the word itself."""
+    draw = random.Random(word)
+    put = {word[:i] + draw.choice(letters) + word[i:] for i in (draw.randrange(1, len(word)) for _ in range(many))}
+    return sorted({word[:i] + word[i] + word[i:] for i in range(len(word))} | put)
+
 
+def likelihood(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The log likelihood ratio of counts in n1 suspect and n0 clean sentences; 0 for what is no likelier in suspect ones."""
+    share, base = np.clip(c1 / np.maximum(c1 + c0, 1), 1e-12, 1 - 1e-12), n1 / max(1, n0 + n1)
+    base = min(max(base, 1e-9), 1 - 1e-9)
+    return np.where(share > base, c1 * np.log(share / base) + c0 * np.log((1 - share) / (1 - base)), 0.0)
 
-def train(rows: list[tuple[str, int]], landmarks: int = 320, negatives: int = 12_000, rounds: int = 4, cost: float = 200.0) -> Machine | None:
-    """The machine for (text, label) rows; None without both labels.
+
+@dataclass
+class Bags:
+    """Labelled documents as bags of sentences of words. names: the distinct words; docs: distinct words of each document;
+    sentence, word: pairs, each once; first, suspect: of each distinct sentence its first document and whether only toxic ones have it."""
+
+    names: list[str]
+    labels: np.ndarray
+    docs: list[np.ndarray]
+    sentence: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    suspect: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, int]]) -> Bags:
+        index: dict[str, int] = {}
+        known: dict[int, int] = {}
+        docs, first, suspect, pairs = [], [], [], []
+        for d, (text, label) in enumerate(rows):
+            bag: set[int] = set()
+            for part in SENTENCE.split(text):
+                own = [index.setdefault(w, len(index)) for w in own_words(part)]
+                bag.update(own)
+                for i in range(0, len(own), WINDOW):
+                    ids = tuple(own[i : i + WINDOW])
+                    s = known.setdefault(hash(ids), len(known))
+                    if s == len(first):
+                        first.append(d)
+                        suspect.append(bool(label))
+                        pairs.append(np.fromiter({*ids}, np.int64))
+                    suspect[s] &= bool(label)
+            docs.append(np.sort(np.fromiter(bag, np.int64)))
+        word = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        return cls(list(index), np.array([int(y) for _, y in rows]), docs, np.repeat(np.arange(len(pairs)), [len(x) for x in pairs]), word, np.array(first, np.int64), np.array(suspect, bool))
+
+
+@dataclass
+class Trainer:
+    """What all machines of one sample share: the spelling of its words and their runs of four characters."""
+
+    bags: Bags
+    cost: float
+
+    def __post_init__(self) -> None:
+        self.spelt = spell(self.bags.names)
+        word, key, _ = features(*self.spelt, offsets=((1, 2, 3),))
+        self.gram_word = word
+        self.many, self.gram = (lambda u, i: (len(u), i))(*np.unique(key, return_inverse=True))
+        self.letters = "".join(sorted({c for w in self.bags.names for c in w if c.isalpha()}))[:200] or "x"
+
+    def values(self, machine: Machine, which: np.ndarray) -> np.ndarray:
+        """Of the words numbered `which`."""
+        chars, starts, lengths = self.spelt
+        return machine.words(chars, starts[which], lengths[which])
+
+    def machine(self, used: np.ndarray, landmarks: int, negatives: int, rounds: int) -> tuple[Machine, list[str]] | None:
+        """Learned from the documents flagged in `used`, with the words that tell by themselves."""
+        b = self.bags
+        own = used[b.first][b.sentence]
+        dark = b.suspect[b.sentence]
+        n1, n0 = int((b.suspect & used[b.first]).sum()), int((~b.suspect & used[b.first]).sum())
+        if not n1 or not n0:
+            return None
+        c1 = np.bincount(b.word[own & dark], minlength=len(b.names))
+        c0 = np.bincount(b.word[own & ~dark], minlength=len(b.names))
+        alone = likelihood(c1, c0, n1, n0)
+        shared = np.zeros(len(b.names))
+        runs = likelihood(np.bincount(self.gram, c1[self.gram_word], self.many), np.bincount(self.gram, c0[self.gram_word], self.many), n1, n0)
+        np.maximum.at(shared, self.gram_word, runs[self.gram])
+        telling = np.maximum(alone, shared)
+        rare = (c0 * n1 * 4 <= c1 * n0) & (self.spelt[2] > 1)  # single characters tell as the word they spell
+        positive = {*np.flatnonzero((alone >= EVIDENCE) & rare).tolist(), *np.flatnonzero((shared >= EVIDENCE) & rare & (c1 > 0)).tolist()}
+        rank = lambda ids: sorted(ids, key=lambda i: (-telling[i], -c1[i], b.names[i]))
+        if not positive:  # a small sample: the words that come nearest
+            positive = {*rank(np.flatnonzero((c1 > 0) & rare).tolist())[: landmarks // 4]}
+        if not positive:
+            return None
+        # firm: words that no clean sentence has, neither whole nor in a telling run of theirs; others tell only in numbers
+        clean_run = np.bincount(self.gram, c0[self.gram_word], self.many)
+        pure = np.zeros(len(b.names), bool)
+        np.logical_or.at(pure, self.gram_word, ((clean_run == 0) & (runs >= EVIDENCE))[self.gram])
+        firm = [i for i in rank(positive) if alone[i] >= EVIDENCE and not c0[i] and pure[i]]
+        margin = dict.fromkeys(firm, 1.0)
+        ranked = [b.names[i] for i in rank(positive)]
+        common = [b.names[i] for i in sorted(np.flatnonzero(c0).tolist(), key=lambda i: (-c0[i], b.names[i]))[: negatives]]
+        near = np.flatnonzero((c0 > 0) & (shared >= EVIDENCE / 2))  # clean words that share a run of characters with what tells
+        marks_toxic = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:1500], landmarks // 2))]
+        marks, negative, machine = sorted({*marks_toxic, *common[: landmarks // 4]}), dict.fromkeys(common), None
+        index = {b.names[i]: i for i in np.flatnonzero(c0).tolist()}
+        bent: dict[str, float] = {}
+        for i in (i for i in firm if len(b.names[i]) > 3):
+            some = [v for v in variants(b.names[i], self.letters) if v not in index]
+            bent |= {v: max(bent.get(v, 0.0), 0.5 * c1[i] / len(some)) for v in some}
+        bags = [d for d, y, u in zip(b.docs, b.labels.tolist(), used.tolist(), strict=True) if y and u and len(d)]
+        for turn in range(rounds):
+            pos, neg = sorted(positive), sorted(negative)
+            more = sorted(bent)
+            up = np.array([*(max(1.0, float(c1[i])) for i in pos), *(bent[v] for v in more)])
+            machine = machine_of(marks, [b.names[i] for i in pos] + more, neg, np.array([*(margin.get(i, SOFT) for i in pos), *([1.0] * len(more))]), up, np.sqrt([float(c0[index[w]]) for w in neg]), self.cost)
+            if turn == rounds - 1:
+                break
+            # a toxic document without a toxic word gives the one that comes nearest, if it is in no clean sentence
+            for d in bags:
+                if positive.isdisjoint(d.tolist()) and len(d := d[c0[d] == 0]):
+                    value = self.values(machine, d)
+                    if value.max() > -0.7:
+                        positive.add(int(d[np.argmax(value)]))
+            value = self.values(machine, near)
+            hard = [b.names[i] for i in near[np.lexsort((near, -value))][:2000][np.sort(-value)[:2000] < 0.95].tolist()]
+            negative |= dict.fromkeys(hard)
+            marks = sorted({*marks_toxic, *common[: landmarks // 4], *apart(hard[:1000], landmarks // 4)})
+        halves = [(w[:i], w[i:]) for w in (b.names[i] for i in firm[:2000]) for i in range(1, len(w))]
+        machine.left, machine.right = (np.unique(hashes_of([h[k] for h in halves])) for k in (0, 1))
+        return machine, [b.names[i] for i in firm]
+
+
+def hashes_of(own: list[str]) -> np.ndarray:
+    """The hash that `words` gives each of these words."""
+    chars, offsets = code_points(own)
+    return words(chars, offsets, _SPACE)[2]
+
+
+def tops_of(owner: np.ndarray, value: np.ndarray, key: np.ndarray, many: int) -> np.ndarray:
+    """The TOP highest values of each owner, in falling order; FLOOR where there are fewer. A key counts once an owner."""
+    value = np.minimum(value, CEILING)
+    keep = value > FLOOR
+    owner, value, key = owner[keep], value[keep], key[keep]
+    order = np.lexsort((key, -value, owner))
+    owner, value, key = owner[order], value[order], key[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))[: len(owner)]
+    owner, value = owner[new], value[new]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((many, TOP), FLOOR)
+    keep = place < TOP
+    out[owner[keep], place[keep]] = value[keep]
+    return out
+
+
+def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_000, rounds: int = 2, cost: float = 200.0) -> Machine | None:
+    """The machine for (text, label) rows; None without both labels or without a word that could tell them apart.
 
     Landmarks are toxic words that differ from each other, frequent clean words and, after a first machine, the clean words it finds
-    most toxic; those also join the negative examples, which else are the most frequent clean words.
+    most toxic; those also join the negative examples, which else are the most frequent clean words. Two more machines, each
+    learned from half of the documents, score the other half; the logistic curve is fitted to these scores.
     """
-    index: dict[str, int] = {}
-    bags, contexts = [], []
-    for t, y in rows:
-        own = np.array([index.setdefault(w, len(index)) for w in own_words(t)], np.int64)
-        bag, first = np.unique(own, return_index=True)
-        bags.append(bag.astype(np.int32))
-        if y:  # each word with the one before it: copies of a document share these
-            contexts.append(bag << 32 | np.where(first > 0, own[first - 1] + 1, 0))
-    names, labels = list(index), np.array([int(y) for _, y in rows])
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    if not n1 or not n0 or not names:
+    bags = Bags.of(rows)
+    trainer = Trainer(bags, cost)
+    found = trainer.machine(np.ones(len(rows), bool), landmarks, negatives, rounds) if len(bags.names) else None
+    if found is None:
         return None
-    df = []
-    for label in (0, 1):
-        found = np.bincount(np.concatenate([b for b, y in zip(bags, labels, strict=True) if y == label]), minlength=len(names))
-        df.append(Counter({names[i]: int(found[i]) for i in np.flatnonzero(found).tolist()}))
-    # association of a word with toxic sentences; ties by the word itself
-    gain = {w: c * np.log(((c + 0.1) / (n1 + 1)) / ((df[0][w] + 0.1) / (n0 + 1))) for w, c in df[1].items()}
-    ranked = sorted((w for w in gain if df[1][w] >= 2 and gain[w] > 0 and df[0][w] * n1 * 10 <= df[1][w] * n0), key=lambda w: (-gain[w], w))
-    ranked = ranked or sorted(df[1], key=lambda w: (-gain[w], w))[:landmarks]
-    told = {*ranked}
-    clean = sorted(df[0], key=lambda w: (-df[0][w], w))
-    # each toxic document gives the word that tells most, so what merely stands beside such words is not taught as toxic
-    worth = np.array([gain[w] if w in told else -1.0 for w in names])
-    tops = [names[bag[np.argmax(worth[bag])]] for bag, y in zip(bags, labels.tolist(), strict=True) if y and len(bag) and worth[bag].max() > 0]
-    # so does a word that many toxic documents hold in different contexts, though others tell more wherever it stands
-    c1, c0 = np.bincount(np.unique(np.concatenate(contexts)) >> 32, minlength=len(names)), np.array([df[0][w] for w in names])
-    share = np.clip(c1 / np.maximum(c1 + c0, 1), 1e-12, 1 - 1e-12)
-    ratio = c1 * np.log(share * (n0 + n1) / n1) + c0 * np.log((1 - share) * (n0 + n1) / n0)
-    ranked = sorted({*tops, *(w for w in told if ratio[index[w]] >= EVIDENCE)}, key=lambda w: (-gain[w], w)) or ranked
-    positive = {*ranked}
-    negative = dict.fromkeys(clean[:negatives])
-    toxic_marks, common = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:3000], landmarks // 2))], clean[: landmarks // 4]
-    marks, machine, value = sorted({*toxic_marks, *common}), None, None
-    for turn in range(rounds):
-        pos, neg = sorted(positive), sorted(negative)
-        machine = machine_of(marks, pos, neg, np.array([df[1][w] for w in pos], float), np.sqrt([df[0][w] for w in neg]), cost)
-        value = machine.words(*spell(names))
-        if turn == rounds - 1:
-            break
-        # a toxic document without a toxic word gives the one that comes nearest, if it is in no clean document
-        for bag, label in zip(bags, labels.tolist(), strict=True):
-            if label and len(bag):
-                best = bag[np.argmax(value[bag])]
-                if value[best] > -0.7 and not df[0][names[best]]:
-                    positive.add(names[best])
-        hard = sorted((c for c in df[0] if value[index[c]] > -0.95), key=lambda c: (-value[index[c]], c))
-        negative |= dict.fromkeys(hard[:4000])
-        marks = sorted({*toxic_marks, *common, *apart(hard[:2000], landmarks // 4)})
-    docs = np.array([value[bag].max(initial=machine.bias) for bag in bags])
-    machine.scale, machine.shift = platt(docs, labels)
+    machine, firm = found
+    half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t, _ in rows])
+    tops, told = np.full((len(rows), TOP), FLOOR), np.zeros(len(rows), bool)
+    for k in (0, 1):
+        other = trainer.machine(half != k, landmarks, negatives, rounds)
+        if other is None:
+            continue
+        own = np.flatnonzero(half == k)
+        used = np.unique(np.concatenate([bags.docs[i] for i in own])) if len(own) else np.zeros(0, np.int64)
+        value = np.zeros(len(bags.names))
+        value[used] = trainer.values(other[0], used)
+        word = np.concatenate([bags.docs[i] for i in own]) if len(own) else used
+        tops[own] = tops_of(np.repeat(np.arange(len(own)), [len(bags.docs[i]) for i in own]), value[word], word, len(own))
+        told[own] = True
+    if len({*bags.labels[told].tolist()}) < 2:
+        value, told = trainer.values(machine, np.arange(len(bags.names))), np.ones(len(rows), bool)
+        word = np.concatenate(bags.docs)
+        tops = tops_of(np.repeat(np.arange(len(rows)), [len(d) for d in bags.docs]), value[word], word, len(rows))
+    # a word that tells by itself is enough: each stands for a document of its own, as the machine sees it
+    lone = np.full((len(firm), TOP), FLOOR)
+    if firm:
+        lone[:, 0] = np.clip(machine.words(*spell(firm)), FLOOR, CEILING)
+    machine.weights, machine.shift = logistic(np.vstack([tops[told], lone]), np.append(bags.labels[told], np.ones(len(firm), np.int64)))
     return machine
 
 
-def platt(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """scale and shift of the logistic curve through documents' values; scale is never negative."""
-    each = np.where(label == 1, np.sqrt((1 - label).sum() / label.sum()), 1.0)
+def logistic(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights, none of them negative, and shift of the logistic curve through documents' values."""
+    each = np.where(label == 1, ((1 - label).sum() / label.sum()) ** 0.25, 1.0)
     target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    x = np.column_stack([value, np.ones(len(value))])
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (each * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (each * (p - target)) + 1e-4 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(float(w[0]), 0.0), float(w[1])
+    free = np.ones(x.shape[1], bool)
+    while True:
+        own = np.column_stack([x[:, free], np.ones(len(x))])
+        w = np.zeros(own.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            ridge = np.append(np.full(own.shape[1] - 1, 0.02), 1e-4)
+            step = np.linalg.solve((own * (each * p * (1 - p) + 1e-6)[:, None]).T @ own + np.diag(ridge), own.T @ (each * (p - target)) + ridge * w)
+            w = w - step
+            if np.abs(step).max() < 1e-8:
+                break
+        if len(w) == 1 or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[free] = w[:-1]
+            return out, float(w[-1])
+        free[np.flatnonzero(free)[np.argmin(w[:-1])]] = False
+
+
+class Scorer:
+    """Scores texts; keeps the values of words it has met, at most about `limit` of them."""
+
+    def __init__(self, machine: Machine | None, limit: int = 400_000) -> None:
+        self.machine, self.limit = machine, limit
+        self.hashes, self.known = np.zeros(0, np.uint64), np.zeros(0)
+
+    def values(self, hashes: np.ndarray, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.hashes, unique)
+        old = np.append(self.hashes, np.uint64(0))[spot] == unique
+        old &= spot < len(self.hashes)
+        out = np.zeros(len(unique))
+        out[old] = self.known[spot[old]]
+        new = first[~old]
+        out[~old] = self.machine.words(chars, starts[new], lengths[new])
+        if len(self.hashes) > self.limit:
+            self.hashes, self.known = unique, out
+        else:
+            both, value = np.append(self.hashes, unique[~old]), np.append(self.known, out[~old])
+            order = np.argsort(both, kind="stable")
+            self.hashes, self.known = both[order], value[order]
+        return out[which]
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The toxicity of each whole text; 0 without a machine, the value of no toxic word for a text without words."""
+        if self.machine is None:
+            return np.zeros(len(texts))
+        chars, offsets = code_points([t.lower() for t in texts])
+        kept = _KEPT[np.minimum(chars, 0x3000)]
+        chars, offsets = chars[kept], np.append(0, np.cumsum(kept))[offsets]
+        starts, lengths, hashes, bounds = words(chars, offsets, _SPACE)
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        found = [(owner, self.values(hashes, chars, starts, lengths), hashes)]
+        if len(starts):
+            text, own, at, many = spelt(chars, starts, lengths, bounds)
+            found.append((text, self.machine.words(own, at, many), np.array([hash(own[a : a + n].tobytes()) for a, n in zip(at.tolist(), many.tolist(), strict=True)], np.int64).view(np.uint64)))
+            # words cut in two: where both halves of a learned word stand side by side, what they spell is scored as one word
+            pair = np.flatnonzero(np.isin(hashes[:-1], self.machine.left) & np.isin(hashes[1:], self.machine.right) & (owner[1:] == owner[:-1]))
+            joined = ["".join(map(chr, np.append(chars[starts[i] : starts[i] + lengths[i]], chars[starts[i + 1] : starts[i + 1] + lengths[i + 1]]).tolist())) for i in pair.tolist()]
+            found.append((owner[pair], self.machine.words(*spell(joined)), hashes_of(joined)))
+        return self.machine.probability(tops_of(*(np.concatenate(x) for x in zip(*found, strict=True)), len(texts)))
 
 
 def scores(texts: list[str], machine: Machine | None) -> np.ndarray:
-    """The toxicity of each whole text; 0 without a machine, the value of no word for a text without one."""
-    if machine is None:
-        return np.zeros(len(texts))
-    chars, offsets = code_points([t.lower() for t in texts])
-    kept = _KEPT[np.minimum(chars, 0x3000)]
-    chars, offsets = chars[kept], np.append(0, np.cumsum(kept))[offsets]
-    starts, lengths, hashes, bounds = words(chars, offsets, _SPACE)
-    value = np.full(len(texts), machine.bias)
-    if len(starts):
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known = machine.words(chars, starts[first], lengths[first])[which]
-        has = np.diff(bounds) > 0
-        value[has] = np.maximum(np.maximum.reduceat(known, bounds[:-1][has]), machine.bias) if has.any() else value[has]
-        text, own, at, many = spelt(chars, starts, lengths, bounds)
-        np.maximum.at(value, text, machine.words(own, at, many))
-    return machine.probability(value)
+    return Scorer(machine).scores(texts)
 
 
 def examples(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 3000) -> list[tuple[str, int]]:
@@ -314,10 +494,11 @@ def predict(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) ->
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in batches:
             ids, held, texts = column(batch, "doc_id"), column(batch, "held_out"), column(batch, "text")
             for a, b in slices(texts):
-                s = scores([t or "" for t in texts.slice(a, b - a).to_pylist()], sent.value)
+                s = scorer.scores([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), held.slice(a, b - a), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
@@ -328,10 +509,11 @@ def keep_clean(docs: DataFrame, machine: Machine | None, threshold: float = 0.3)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in batches:
             texts = column(batch, "text")
             for a, b in slices(texts):
-                s = scores([t or "" for t in texts.slice(a, b - a).to_pylist()], sent.value)
+                s = scorer.scores([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 yield batch.slice(a, b - a).filter(pa.array(s < threshold, pa.bool_()))
 
     return texts_of(docs).mapInArrow(trimmed(run), docs.schema)
