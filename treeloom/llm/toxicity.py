@@ -152,6 +152,8 @@ def own_words(text: str) -> list[str]:
     """The lower-case words of a text without ASCII punctuation, which also hides nothing inside a word; before a run of SPELT
     or more single characters the word they spell."""
     own = re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower()).split()
+    if list(map(len, own)).count(1) < SPELT:
+        return own
     out: list[str] = []
     for one, run in groupby(own, lambda w: len(w) == 1):
         run = list(run)
@@ -270,6 +272,8 @@ class Trainer:
         word, key, _ = features(*self.spelt, offsets=((1, 2, 3),))
         self.gram_word = word
         self.many, self.gram = (lambda u, i: (len(u), i))(*np.unique(key, return_inverse=True))
+        self.by_word = self.gram[np.argsort(word, kind="stable")]
+        self.starts = np.append(0, np.cumsum(np.bincount(word, minlength=len(self.bags.names))))[:-1]
         self.letters = "".join(sorted({c for w in self.bags.names for c in w if c.isalpha()}))[:200] or "x"
 
     def values(self, machine: Machine, which: np.ndarray) -> np.ndarray:
@@ -288,29 +292,29 @@ class Trainer:
         c1 = np.bincount(b.word[own & dark], minlength=len(b.names))
         c0 = np.bincount(b.word[own & ~dark], minlength=len(b.names))
         alone = likelihood(c1, c0, n1, n0)
-        shared = np.zeros(len(b.names))
-        runs = likelihood(np.bincount(self.gram, c1[self.gram_word], self.many), np.bincount(self.gram, c0[self.gram_word], self.many), n1, n0)
-        np.maximum.at(shared, self.gram_word, runs[self.gram])
+        dark_run, clean_run = (np.bincount(self.gram, c[self.gram_word], self.many) for c in (c1, c0))
+        runs = likelihood(dark_run, clean_run, n1, n0)
+        best = lambda worth: np.maximum.reduceat(worth[self.by_word], self.starts)
+        shared = best(runs)
         telling = np.maximum(alone, shared)
         rare = (c0 * n1 * 4 <= c1 * n0) & (self.spelt[2] > 1)  # single characters tell as the word they spell
         positive = {*np.flatnonzero((alone >= EVIDENCE) & rare).tolist(), *np.flatnonzero((shared >= EVIDENCE) & rare & (c1 > 0)).tolist()}
         rank = lambda ids: sorted(ids, key=lambda i: (-telling[i], -c1[i], b.names[i]))
         if not positive:  # a small sample: the words that come nearest
-            positive = {*rank(np.flatnonzero((c1 > 0) & rare).tolist())[: landmarks // 4]}
+            positive = {*rank(np.flatnonzero((c1 > 0) & rare).tolist())[:landmarks // 4]}
         if not positive:
             return None
         # firm: words that no clean sentence has, neither whole nor in a telling run of theirs; others tell only in numbers
-        clean_run = np.bincount(self.gram, c0[self.gram_word], self.many)
-        pure = np.zeros(len(b.names), bool)
-        np.logical_or.at(pure, self.gram_word, ((clean_run == 0) & (runs >= EVIDENCE))[self.gram])
+        pure = best((clean_run == 0) & (runs >= EVIDENCE))
         firm = [i for i in rank(positive) if alone[i] >= EVIDENCE and not c0[i] and pure[i]]
         margin = dict.fromkeys(firm, 1.0)
         ranked = [b.names[i] for i in rank(positive)]
-        common = [b.names[i] for i in sorted(np.flatnonzero(c0).tolist(), key=lambda i: (-c0[i], b.names[i]))[: negatives]]
+        clean = np.flatnonzero(c0)
+        common = [b.names[i] for i in clean[np.argsort(-c0[clean], kind="stable")][:negatives].tolist()]
         near = np.flatnonzero((c0 > 0) & (shared >= EVIDENCE / 2))  # clean words that share a run of characters with what tells
-        marks_toxic = [*dict.fromkeys(ranked[: landmarks // 4] + apart(ranked[:1500], landmarks // 2))]
-        marks, negative, machine = sorted({*marks_toxic, *common[: landmarks // 4]}), dict.fromkeys(common), None
-        index = {b.names[i]: i for i in np.flatnonzero(c0).tolist()}
+        marks_toxic = [*dict.fromkeys(ranked[:landmarks // 4] + apart(ranked[:1500], landmarks // 2))]
+        marks, negative, machine = sorted({*marks_toxic, *common[:landmarks // 4]}), dict.fromkeys(common), None
+        index = {b.names[i]: i for i in clean.tolist()}
         bent: dict[str, float] = {}
         for i in (i for i in firm if len(b.names[i]) > 3):
             some = [v for v in variants(b.names[i], self.letters) if v not in index]
@@ -332,7 +336,7 @@ class Trainer:
             value = self.values(machine, near)
             hard = [b.names[i] for i in near[np.lexsort((near, -value))][:2000][np.sort(-value)[:2000] < 0.95].tolist()]
             negative |= dict.fromkeys(hard)
-            marks = sorted({*marks_toxic, *common[: landmarks // 4], *apart(hard[:1000], landmarks // 4)})
+            marks = sorted({*marks_toxic, *common[:landmarks // 4], *apart(hard[:1000], landmarks // 4)})
         halves = [(w[:i], w[i:]) for w in (b.names[i] for i in firm[:2000]) for i in range(1, len(w))]
         machine.left, machine.right = (np.unique(hashes_of([h[k] for h in halves])) for k in (0, 1))
         return machine, [b.names[i] for i in firm]
@@ -360,12 +364,12 @@ def tops_of(owner: np.ndarray, value: np.ndarray, key: np.ndarray, many: int) ->
     return out
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_000, rounds: int = 2, cost: float = 200.0) -> Machine | None:
+def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_000, rounds: int = 2, cost: float = 200.0, parts: int = 4) -> Machine | None:
     """The machine for (text, label) rows; None without both labels or without a word that could tell them apart.
 
     Landmarks are toxic words that differ from each other, frequent clean words and, after a first machine, the clean words it finds
-    most toxic; those also join the negative examples, which else are the most frequent clean words. Two more machines, each
-    learned from half of the documents, score the other half; the logistic curve is fitted to these scores.
+    most toxic; those also join the negative examples, which else are the most frequent clean words. As many more machines as `parts`,
+    each learned from all other parts of the documents, score their own part; the logistic curve is fitted to these scores.
     """
     bags = Bags.of(rows)
     trainer = Trainer(bags, cost)
@@ -373,13 +377,13 @@ def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_
     if found is None:
         return None
     machine, firm = found
-    half = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t, _ in rows])
+    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % parts for t, _ in rows])
     tops, told = np.full((len(rows), TOP), FLOOR), np.zeros(len(rows), bool)
-    for k in (0, 1):
-        other = trainer.machine(half != k, landmarks, negatives, rounds)
+    for k in range(parts):
+        other = trainer.machine(part != k, landmarks, negatives, rounds)
         if other is None:
             continue
-        own = np.flatnonzero(half == k)
+        own = np.flatnonzero(part == k)
         used = np.unique(np.concatenate([bags.docs[i] for i in own])) if len(own) else np.zeros(0, np.int64)
         value = np.zeros(len(bags.names))
         value[used] = trainer.values(other[0], used)
@@ -400,7 +404,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_
 
 def logistic(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights, none of them negative, and shift of the logistic curve through documents' values."""
-    each = np.where(label == 1, ((1 - label).sum() / label.sum()) ** 0.25, 1.0)
+    each = np.where(label == 1, ((1 - label).sum() / label.sum()) ** 0.35, 1.0)
     target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
     free = np.ones(x.shape[1], bool)
     while True:
