@@ -1,12 +1,13 @@
+import json
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions import scalars as S
-from treeloom.operators import history, ledger, text
+from treeloom.operators import graph, history, ledger, text
 from treeloom.plans.corpus import Corpus, greedy_pack
-from treeloom.sources import git
+from treeloom.sources import git, sink
 from treeloom.sources.tree import load_settings, read_tree, stale
 from treeloom.streaming import watch
 
@@ -100,9 +101,19 @@ def test_questions(corpus):
     body = corpus.slice("UserService.create_user").first()
     assert body.body.startswith("    def create_user") and (body.line, body.end_line) == (6, 9)
     assert corpus.read("src/services/user_service.py").first().dependent_paths == ["src/controllers/user_controller.py", "tests/test_user_service.py"]
-    assert {r.relation for r in corpus.symbol("UserService").collect()} == {"definition", "caller"}
+    assert {r.relation for r in corpus.symbol("UserService").collect()} == {"definition", "caller", "test"}
+    assert {(r.relation, r.path) for r in corpus.symbol("db.users.delete").collect()} == {("text match", "src/services/user_service.py")}
+    assert corpus.slice("Nobody.create_user").first().name == "UserService.create_user"
+    shown = corpus.uses("send_welcome_email").collect()
+    assert len(corpus.uses("send_welcome_email", include_definitions=True).collect()) == len(shown) + 1
+    refs = corpus.callgraph("UserService").collect()
+    assert {r.path for r in refs} >= {"tests/test_user_service.py"} and refs[0].side_effects == ["DB write"]
+    assert corpus.read("src/db.py").first().role == "data/model layer" and corpus.read("src/db.py").first().trust == "python_ast/high"
+    assert corpus.read("tests/test_user_service.py").first().role == "test coverage"
     assert corpus.uses("UserService").count() >= 2 and corpus.api("src").count() >= 5 and corpus.flow("src/services/user_service.py").count() == 1
     assert corpus.budget(top=3).count() == 3 and corpus.languages().count() >= 3
+    assert corpus.languages().where("is_primary").first().lang == "Python" and tuple(corpus.counts().first()) == (len(FILES) + 1, 1)
+    assert [r.label for r in corpus.effects_of("POST /api/users").collect()] == ["DB write"]
     packed = corpus.pack("src/services/user_service.py").collect()
     assert packed[0].relation == "target" and "likely-test" in {r.relation for r in packed}
 
@@ -118,9 +129,11 @@ def test_snapshot(spark, root, corpus, tmp_path):
     event = spark.createDataFrame([("2024-01-01T00:00:00", "src/emailer.py", "delete", None), ("2024-01-01T00:00:01", "src/new_one.py", "upsert", "from src.db import db\n")], "ts string, path string, kind string, text string")
     event.coalesce(1).write.mode("append").json(str(landing / "e"))
     watch.watch(spark, str(landing / "e"), where, str(tmp_path / "cp")).awaitTermination(120)
-    after = Corpus.load(spark, watch.current(where))
+    after = Corpus.load(spark, watch.current(spark, where))
     paths = {r.path for r in after.files.select("path").collect()}
     assert "src/new_one.py" in paths and "src/emailer.py" not in paths
+    last = Corpus.load(spark, watch.current(spark, where))
+    assert last.symbols.count() == after.symbols.count()
     assert ("src/new_one.py", "src/db.py") in rows(after.deps, "src", "dst") and not after.deps.where("dst = 'src/emailer.py'").count()
 
 
@@ -193,3 +206,195 @@ def test_containment_of_any_number_of_parts(spark, tmp_path):
     bench = spark.read.parquet(str(tmp_path / "benchmark.parquet")).withColumnRenamed("text", "item")
     own = spark.read.parquet(str(tmp_path / "documents.parquet"))
     assert said(text.holding(own, bench, part="item", block=900).select("item_id", "doc_id")) == want
+
+
+def sources(spark, **files):
+    return Corpus.of(spark.createDataFrame([(p.replace("__", "."), t) for p, t in files.items()], "path string, text string"))
+
+
+def test_relative_imports_take_the_first_candidate(spark):
+    """Scripts before typed ones, an index before a package, the name itself before all; a script's extension may stand for another source."""
+    texts = {"a/x.jsx": "", "a/x.ts": "", "a/p/index.js": "", "a/p/__init__.py": "", "a/y.ts": "", "a/z.css": "", "a/z.css.py": "", "a/main.js": "import './x'; import './p'; import './y.js'; import './z.css'; import '../a/x';"}
+    files = spark.createDataFrame([(p,) for p in texts], "path string")
+    raw = spark.createDataFrame([("a/main.js", i, 0, t) for i, t in enumerate(["./x", "./p", "./y.js", "./z.css", "../a/x", "../../x"])], "path string, pos int, level int, target string")
+    assert rows(graph.resolve(raw, files), "src", "dst") == [("a/main.js", d) for d in ("a/p/index.js", "a/x.jsx", "a/y.ts", "a/z.css")]
+
+
+def test_signatures(spark):
+    got = sources(spark, m__py="def f(a, b=1, *c, d: int = 2, **e): pass\ndef g(a, /, b: str, *, c=None) -> int: pass\nasync def h(): pass\n")
+    assert [r.signature for r in got.symbols.orderBy("line").collect()] == ["def f(a, b = 1, *c, d: int = 2, **e)", "def g(a, /, b: str, *, c = None) -> int", "def h()"]
+
+
+def test_references_by_scope(spark):
+    body = """import a.helper as h
+from b import helper
+def one(helper):
+    return helper()
+def two(x):
+    x += helper
+    return lambda helper: helper
+def three():
+    q[helper] = 1
+    *helper, rest = x
+    return h(1), helper
+def four():
+    del helper
+    return helper
+@helper
+class K(helper):
+    y = helper
+z.helper
+"""
+    got = sources(spark, m__py=body)
+    assert [r.line for r in got.references("helper").collect()] == [6, 9, 11, 16, 17, 18]
+
+
+def test_calls_outside_python(spark):
+    got = sources(spark, web__js="function run(req) {\n  const s = 1;\n  svc = Service(req);\n  svc.start();\n  new Page(req).draw();\n  Cache.clear();\n  other.go();\n}\nclass Page {\n  draw(x) {\n    return 1;\n  }\n}\n")
+    assert [tuple(r) for r in got.calls.select("symbol", "class_name", "method_name", "inferred").orderBy("class_name").collect()] == [("run", "Cache", "clear", False), ("run", "Page", "draw", False), ("run", "Service", "start", True)]
+    refs = sources(spark, a__go='package a\n// Widget here\nfunc f() {\n  x := "Widget"\n  Widget(x)\n}\n')
+    assert [r.line for r in refs.references("Widget").collect()] == [5]
+
+
+def test_comments_but_not_strings_are_stripped(spark):
+    """What looks like a comment inside a string is none, in any language; a hash begins one where the language says so."""
+    texts = [
+        (".js", 'fetch("https://x/y"); // gone\nlet a = "#no"; /* gone\n too */ b = `//${a}`;', 'fetch("https://x/y"); \nlet a = "#no";  b = `//${a}`;'),
+        (".rb", "a = '#no' # gone\nb // c", "a = '#no' \nb // c"), (".go", "a := '\"' // gone\nb # c", "a := '\"' \nb # c"),
+        (".php", "a # gone\nb // gone", "a \nb "), (".rs", "fn f<'a>(x: &'a str) // it's gone", "fn f<'a>(x: &'a str) "), (".js", '"' + "x" * 30_000 + '\\"' * 500 + '" // gone', '"' + "x" * 30_000 + '\\"' * 500 + '" '),
+    ]
+    df = spark.createDataFrame(texts, "ext string, t string, want string")
+    assert all(r[0] == r[1] for r in df.select(S.without_comments(F.col("t"), F.col("ext")), "want").collect())
+    assert rows(sources(spark, a__js='fetch("https://example.org/x")').side_effects, "path", "label") == [("a.js", "Network call")]
+
+
+def test_trust_and_analogues(spark):
+    df = spark.createDataFrame([("python_ast",), ("syntax_scan",), ("regex",)], "a string")
+    assert [r[0] for r in df.select(S.precision_label(F.col("a"))).collect()] == ["python_ast/high", "syntax_aware/medium", "heuristic/low"]
+    cases = {"t read a.py": "cat a.py", "t map": "find . -maxdepth 3 -type f", "t symbol X": "(no direct shell equivalent — would have required multiple grep+sed)", "t pack x": "(equivalent of) t pack x", "t": "t"}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", ledger.raw_analogue(F.col("c")).alias("a")).collect()
+    assert {r.c: r.a for r in got} == cases
+
+
+def test_greedy_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, i, 60) for i in range(4)] + [(7, 0, 60), (7, 1, 40)], "g long, o int, c long")
+    assert sorted((r.g or -1, r.o) for r in text.greedy(df, "g", ["o"], "c", 100).collect()) == [(-1, 0), (7, 0), (7, 1)]
+
+
+def test_primary_language_of_ties(spark):
+    df = spark.createDataFrame([("ab",), ("a",), ("Z",), ("ab",), ("a",)], "lang string")
+    assert [r.lang for r in text.histogram(df).where("is_primary").collect()] == ["a"]
+
+
+def brute_tests(paths, tests, imports):
+    out = set()
+    for p in paths:
+        stem = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        base = stem.replace("test_", "").lower().replace("_", "")
+        module = "/".join(x.lower().replace("_", "") for x in p.rsplit(".", 1)[0].split("/") if x not in ("src", "lib"))
+        for t in tests:
+            name = t.rsplit("/", 1)[-1].rsplit(".", 1)[0].lower().replace("_", "")
+            whole = "/".join(x.lower().replace("_", "") for x in t.rsplit(".", 1)[0].split("/") if x not in ("tests", "test", "spec"))
+            own = name[4:] if name.startswith("test") else name
+            if (t, p) in imports or (base and own == base) or (module and module in whole) or (len(base) >= 4 and base in name):
+                out.add((p, t))
+    return out
+
+
+def test_tests_for_equals_the_plain_rules(spark):
+    import random
+
+    r = random.Random(3)
+    bits = ["db", "user", "a", "feed", "feedback", "api_v2", "Auth", "x_y", "src", "lib"]
+    paths = sorted({"/".join(r.choice(bits) for _ in range(r.randrange(3))) + f"/{r.choice(bits)}{r.choice(bits)}.py" for _ in range(60)} | {"src/db.py", "db.py", "lib/api_v2/user.py"})
+    paths = [p.lstrip("/") for p in paths]
+    tests = sorted({r.choice(["tests/", "spec/", "pkg/tests/"]) + "/".join(r.choice(bits) for _ in range(r.randrange(3))) + f"/test_{r.choice(bits)}_{r.choice(bits)}.py" for _ in range(40)})
+    tests = [t.replace("//", "/") for t in tests]
+    files = spark.createDataFrame([(p, False) for p in {*paths}] + [(t, True) for t in {*tests}], "path string, is_test boolean")
+    imports = [(r.choice(tests), r.choice(paths)) for _ in range(10)]
+    got = set(rows(graph.tests_for(files, spark.createDataFrame(imports, "src string, dst string")), "path", "test"))
+    assert got == brute_tests({*paths, *tests}, {*tests}, {*imports})
+
+
+def test_cochange_of_large_commits(spark):
+    df = spark.createDataFrame([(1, f"p{i:03d}") for i in range(40)] + [(2, "p001"), (2, "p002"), (3, "p001")], "commit int, path string")
+    whole, cut = (rows(history.cochange(df, 10_000, b), "a", "b", "co_changes") for b in (500, 7))
+    assert whole == cut and len(whole) == 780 and ("p001", "p002", 2) in whole
+
+
+def test_review_preflight_impact_and_diff_pack(spark, root, corpus):
+    base = corpus
+    more = {**FILES, "src/emailer.py": FILES["src/emailer.py"] + "def brand_new_helper(x: int) -> int:\n    return x\n", "src/services/user_service.py": SERVICE.replace("email: str) -> dict", "email: str, name = None) -> dict")}
+    new = Corpus.of(spark.createDataFrame(list(more.items()), "path string, text string"))
+    commits = git.commit_files(spark, root)
+    chosen = new.selected(spark.createDataFrame([("src/emailer.py",), ("src/services/user_service.py",), ("danger.py",), ("gone.py",)], "path string"))
+    got = {r.path: r for r in new.review(base, chosen, commits, security=True).collect()}
+    assert [tuple(x) for x in got["src/emailer.py"].changed_symbols] == [("brand_new_helper", "added")]
+    service = got["src/services/user_service.py"]
+    assert [tuple(x) for x in service.changed_symbols] == [("UserService.create_user", "signature")] and service.risks == ["DB write"] and service.tests == ["tests/test_user_service.py"]
+    assert service.summary == "1 changed symbols; side effects: DB write" and got["gone.py"].summary == "not indexed" and got["gone.py"].analyzer is None
+    assert len(got["danger.py"].findings) == 3 and not any(r.findings for r in new.review(base, chosen, commits).collect())
+    impact = {r.path: r for r in new.impact(chosen, commits).collect()}
+    assert (impact["src/services/user_service.py"].risk, impact["src/services/user_service.py"].commits) == ("MEDIUM", 1) and impact["danger.py"].risk == "LOW"
+    assert new.impact(new.selected(target="src/db.py")).first().risk == "HIGH"
+    flight = new.preflight("src/services/user_service.py", commits).first()
+    assert flight.checks == ["pytest tests/test_user_service.py"] and len(flight.neighbors) == 3 and flight.blast_radius == "MEDIUM" and flight.symbols == 3
+    assert new.preflight("danger.py").first().checks == ["review security flags before editing"] and new.preflight("gone.py").count() == 0
+    changes = [(r.path, r.risk_points, r.level) for r in new.changes(base, chosen, commits, security=True).collect()]
+    assert changes == [("src/services/user_service.py", 5, "HIGH"), ("danger.py", 5, "HIGH"), ("src/emailer.py", 3, "MEDIUM")]
+    packed = new.diff_pack(base, chosen, commits, security=True).collect()
+    assert [r.path for r in packed] == [c[0] for c in changes]
+    assert "signature UserService.create_user" in packed[0].rendered
+
+
+def test_blame_show_and_status(spark, root, corpus):
+    row = corpus.blame("UserService.create_user", git.blame(spark, root, "src/services/user_service.py")).first()
+    assert (row.author, row.lines, row.per_mille) == ("A", 4, 1000) and row.newest_commit
+    assert rows(git.show(spark, root, "HEAD", ["src/__init__.py", "nowhere.py", "src/emailer.py"]), "path", "text") == [("src/__init__.py", ""), ("src/emailer.py", FILES["src/emailer.py"])]
+    assert sum(r.files for r in git.status_counts(git.status(spark, root)).collect()) == git.status(spark, root).count()
+    assert git.commit_files(spark, root, most=1).count() == 7 and spark.read.format("git_log").option("commitsPerPartition", "1").load(root).count() == 7
+
+
+def test_gain_scopes_and_sinks(spark, tmp_path):
+    one, two = str(tmp_path / "repo"), str(tmp_path / "all")
+    line = spark.createDataFrame([(1.0, "map", 100, 40, 60, "r"), (2.0, "read", 50, 50, 0, "r")], ledger.SCHEMA)
+    ledger.append(line, one, two)
+    ledger.append(spark.createDataFrame([(3.0, "map", 10, 0, 10, "q")], ledger.SCHEMA), two)
+    assert [ledger.gain(spark, s, one, two).count() for s in ("repo", "global", "all")] == [2, 3, 3]
+    shown = ledger.shown(ledger.gain(spark, "repo", one, two)).first()
+    assert (shown.commands, shown.saved_per_mille, shown.bar) == (2, 400, "█" * 9 + "░" * 15)
+    said = json.loads(sink.document(line.select("command", "repo").orderBy("command"), "gain", scope="repo").first().value)
+    assert said == {"command": "gain", "scope": "repo", "rows": [{"command": "map", "repo": "r"}, {"command": "read", "repo": "r"}]}
+    sink.write(line.select("raw_tokens"), "gain", str(tmp_path / "out"))
+    assert sorted(json.loads(r.value)["raw_tokens"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [50, 100]
+    assert [r.value for r in sink.text_lines(line.select("command").limit(1), "gain").collect()] == ["# gain", "- command: map"]
+
+
+def test_polling_moves_and_refusal(spark, tmp_path):
+    tree, where = tmp_path / "tree", str(tmp_path / "stored")
+    tree.mkdir()
+    (tree / "a.py").write_text("x = 1\n")
+    (tree / "b.py").write_text("import a\n")
+    Corpus.scan(spark, str(tree)).save(where)
+    stored = lambda: Corpus.load(spark, watch.current(spark, where))
+    assert watch.polled(spark, str(tree), where).count() == 0 and stored().freshness(spark, str(tree)).count() == 0
+    (tree / "a.py").unlink()
+    (tree / "c.py").write_text("import b\n")
+    assert rows(stored().freshness(spark, str(tree)), "state", "files") == [("deleted", 1), ("new", 1)]
+    watch.apply(spark, watch.polled(spark, str(tree), where), where)
+    assert rows(stored().files, "path") == [("b.py",), ("c.py",)] and rows(stored().deps, "src", "dst") == [("c.py", "b.py")]
+    assert watch.polled(spark, str(tree), where).count() == 0
+    events = spark.createDataFrame([("b.py", "move", "x = 1\n", "d.py")], "path string, kind string, text string, moved_to string").withColumn("ts", F.current_timestamp())
+    watch.apply(spark, watch.relevant(watch.steps(events)), where)
+    assert rows(stored().files, "path") == [("c.py",), ("d.py",)] and len(watch.versions(spark, where)) == 2
+    stored().files.drop("confidence").write.parquet(str(tmp_path / "old/files"))
+    for name in ("symbols", "imports", "raw_imports", "refs", "calls", "routes", "side_effects", "findings", "deps"):
+        stored().tables[name].write.parquet(str(tmp_path / "old" / name))
+    with pytest.raises(ValueError, match="files.confidence"):
+        Corpus.load(spark, str(tmp_path / "old"))
+
+
+def test_bursts(spark):
+    df = spark.createDataFrame([("u", "2024-01-01 00:00:00", "a"), ("u", "2024-01-01 00:00:00.4", "b"), ("u", "2024-01-01 00:00:02", "a"), ("v", "2024-01-01 00:00:00.2", "c")], "by string, ts string, path string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.by, r.paths, r.events) for r in watch.debounced(df, "by").collect()) == [("u", ["a"], 1), ("u", ["a", "b"], 2), ("v", ["c"], 1)]
+    assert [r.paths for r in watch.debounced(df).orderBy("began").collect()] == [["a", "b", "c"], ["a"]]

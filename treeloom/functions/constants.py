@@ -70,6 +70,33 @@ RUST_USE = r"""^\s*use\s+([A-Za-z_][\w:]*)"""
 ROUTE_DICT = r"""['"]([A-Z]+\s+/[^'"]+)['"]\s*:\s*([A-Za-z_][\w.]*)"""
 ROUTE_CALL = r"""(?i)\b(?:router|app)\.(get|post|put|patch|delete)\(['"]([^'"]+)['"]\s*,\s*([A-Za-z_][\w.]*)"""
 
+# Declarations by line, as kind and regex.
+LINE_SYMBOLS = (
+    ("class", r"\b(?:export\s+)?class\s+([A-Za-z_$][\w$]*)"),
+    ("function", r"\b(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"),
+    ("function", r"\b(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>"),
+)
+
+# Calls by line; Cls(...).m(, Cls.m(, v.m( and v = Cls(.
+CALL_OF_NEW = r"\b([A-Z][A-Za-z0-9_]*)\s*\([^)]*\)\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+CALL_OF_CLASS = r"\b([A-Z][A-Za-z0-9_]*)\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+CALL_OF_NAME = r"\b([a-z_][\w]*)\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+MADE_OF_CLASS = r"\b([a-z_][\w]*)\s*=\s*([A-Z][\w]*)\s*\("
+
+# What a relative import may stand for, best first, and the extensions that may stand for another source.
+STEMS = ("", ".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/__init__.py")
+SCRIPT_EXTENSIONS = (".js", ".mjs", ".cjs", ".jsx")
+
+# Roles, by the words that a path holds, in order; the last for other files. Analyzers' precision and confidence.
+TEST_ROLE = "test coverage"
+ROLES = ((("service",), "domain/service logic"), (("controller", "route"), "request/API flow"), (("db", "model", "schema"), "data/model layer"))
+OTHER_ROLE = "source"
+CONFIDENCE = {"python_ast": ("exact_range", "high"), "syntax_scan": ("syntax_aware", "medium"), "regex": ("heuristic", "low")}
+
+# Commands without a shell counterpart, and what is said of them.
+NO_ANALOGUE = ("symbol", "callgraph", "tests-for", "impact", "review", "refs", "blame", "sdiff", "api", "preflight")
+NO_ANALOGUE_TEXT = "(no direct shell equivalent — would have required multiple grep+sed)"
+
 # What an absolute import may resolve to, best first, and source roots.
 ABSOLUTE = ("/__init__.py", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", ".py", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs")
 SOURCE_ROOTS = ("src", "lib", "pkg", "internal")

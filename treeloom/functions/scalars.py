@@ -58,13 +58,26 @@ def is_test(path: Column, dirs: Sequence[str] = (), patterns: Sequence[str] = ()
 
 
 def role(path: Column, test: Column) -> Column:
+    """What a file is for: a test, else the first role of which its path holds a word."""
     low = F.lower(path)
-    has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    return F.when(test, "test").when(has("service"), "service").when(has("controller", "route"), "controller").when(has("db", "model", "schema"), "data").otherwise("source")
+    out = F.when(test, C.TEST_ROLE)
+    for words, label in C.ROLES:
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), label)
+    return out.otherwise(C.OTHER_ROLE)
+
+
+def precision(analyzer: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in C.CONFIDENCE.items() for x in (k, v[0])]), analyzer)
+
+
+def confidence(analyzer: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in C.CONFIDENCE.items() for x in (k, v[1])]), analyzer)
 
 
 def precision_label(analyzer: Column) -> Column:
-    return F.when(analyzer == "python_ast", "exact").when(analyzer == "regex", "heuristic").otherwise("syntax-aware")
+    """How far an answer can be trusted, in one word pair."""
+    p, c = precision(analyzer), confidence(analyzer)
+    return F.when((analyzer == "python_ast") & (c == "high"), "python_ast/high").when((p == "heuristic") | (c == "low"), "heuristic/low").otherwise(F.concat_ws("/", p, c))
 
 
 def without_receiver(name: Column) -> Column:
@@ -80,9 +93,30 @@ def body(text_lines: Column, line: Column, end_line: Column) -> Column:
     return F.array_join(F.slice(text_lines, line, F.greatest(end_line - line + 1, F.lit(0))), "\n")
 
 
-def without_comments(text: Column) -> Column:
-    """Block, slash and hash comments of C-like languages removed."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", ""), r"#[^\n]*", "")
+_STRING = lambda q: rf"{q}[^{q}\\\n]*(?:\\.[^{q}\\\n]*)*{q}"
+_SLASHES = (r"/\*[\s\S]*?\*/", r"//[^\n]*")
+_HASH = (r"#[^\n]*",)
+_LONG_STRINGS = (_STRING('"'), _STRING("'"))
+#: By file type: strings, which are kept, then comments, which go. Other types have double-quoted strings and single characters.
+LEXEMES = {
+    (".js", ".jsx", ".ts", ".tsx"): ((*_LONG_STRINGS, r"`[^`\\]*(?:\\.[^`\\]*)*`"), _SLASHES),
+    (".rb",): (_LONG_STRINGS, _HASH),
+    (".php",): (_LONG_STRINGS, (*_SLASHES, *_HASH)),
+}
+OTHER_LEXEMES = ((_STRING('"'), r"'(?:\\[^'\n]+|[^'\\\n])'"), _SLASHES)
+
+
+def stripping(strings: Sequence[str], comments: Sequence[str]) -> str:
+    """The regex whose matches, replaced by their first group, leave a text without comments; one inside a string is none."""
+    return f"({'|'.join(strings)})|{'|'.join(comments)}"
+
+
+def without_comments(text: Column, ext: Column) -> Column:
+    """A text without the comments of its file type (an extension with its dot); what stands in strings stays."""
+    out = F.when(F.lit(False), text)
+    for types, parts in LEXEMES.items():
+        out = out.when(ext.isin(*types), F.regexp_replace(text, stripping(*parts), "$1"))
+    return out.otherwise(F.regexp_replace(text, stripping(*OTHER_LEXEMES), "$1"))
 
 
 def labels(text: Column, rules: Sequence[tuple[str, str]]) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import scalars as S
@@ -24,8 +25,7 @@ from ..functions import scalars as S
 SYMBOL = "struct<pos:int,name:string,kind:string,line:int,end_line:int,methods:array<string>,signature:string>"
 REF = "struct<line:int,ident:string,alias_of:string,attribute:boolean,shadowed:boolean>"
 CALL = "struct<symbol:string,class_name:string,method_name:string,inferred:boolean>"
-SCHEMA = f"path string, analyzer string, code string, symbols array<{SYMBOL}>, imports array<string>, raw_imports array<struct<pos:int,level:int,target:string>>, refs array<{REF}>, calls array<{CALL}>"
-CONFIDENCE = {"python_ast": ("exact_range", "high"), "syntax_scan": ("syntax_aware", "medium"), "regex": ("heuristic", "low")}
+NEW = f"analyzer string, code string, symbols array<{SYMBOL}>, imports array<string>, raw_imports array<struct<pos:int,level:int,target:string>>, refs array<{REF}>, calls array<{CALL}>"
 
 
 def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
@@ -35,7 +35,7 @@ def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
 
     def one(arg: ast.arg, default: ast.expr | None) -> str:
         note = f": {ast.unparse(arg.annotation)}" if arg.annotation else ""
-        return arg.arg + note + ("" if default is None else f"{' = ' if note else '='}{ast.unparse(default)}")
+        return arg.arg + note + ("" if default is None else f" = {ast.unparse(default)}")
 
     parts = [one(x, d) for x, d in zip(plain, defaults, strict=True)]
     if a.posonlyargs:
@@ -50,6 +50,11 @@ def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
     return f"def {node.name}({', '.join(parts)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
 
 
+def bound(*targets: ast.expr | None) -> set[str]:
+    """The names that assignment to these targets binds; not those of subscripts, attributes or starred parts."""
+    return {t.id for t in targets if isinstance(t, ast.Name)}.union(*(bound(*t.elts) for t in targets if isinstance(t, (ast.Tuple, ast.List))))
+
+
 class References(ast.NodeVisitor):
     """Every read of a name and every attribute, with whether a function around rebinds the name."""
 
@@ -60,15 +65,24 @@ class References(ast.NodeVisitor):
         a = node.args
         names = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x}
         for n in ast.walk(node):
-            for target in (*getattr(n, "targets", ()), getattr(n, "target", None) if isinstance(n, (ast.For, ast.AsyncFor, ast.NamedExpr, ast.AugAssign)) else None, *(i.optional_vars for i in getattr(n, "items", ()) if isinstance(n, (ast.With, ast.AsyncWith)))):
-                names |= {x.id for x in ast.walk(target) if isinstance(x, ast.Name)} if target is not None else set()
-            if isinstance(n, ast.ExceptHandler) and n.name:
-                names.add(n.name)
+            match n:
+                case ast.Assign(targets=found) | ast.Delete(targets=found):
+                    names |= bound(*found)
+                case ast.For(target=one) | ast.AsyncFor(target=one) | ast.NamedExpr(target=one):
+                    names |= bound(one)
+                case ast.With(items=items) | ast.AsyncWith(items=items):
+                    names |= bound(*(i.optional_vars for i in items))
+                case ast.ExceptHandler(name=str(name)):
+                    names.add(name)
         self.hidden.append(names)
         self.generic_visit(node)
         self.hidden.pop()
 
-    visit_AsyncFunctionDef = visit_FunctionDef
+    visit_AsyncFunctionDef = visit_Lambda = visit_FunctionDef
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        for part in (*node.bases, *node.keywords, *node.body):  # a class's decorators are no uses
+            self.visit(part)
 
     def visit_Name(self, node: ast.Name) -> None:
         if isinstance(node.ctx, ast.Load):
@@ -120,7 +134,7 @@ def python_file(text: str) -> dict:
             calls |= calls_of(node, node.name)
     for node in ast.walk(tree):
         if isinstance(node, (ast.Import, ast.ImportFrom)):
-            aliases |= {a.asname: a.name for a in node.names if a.asname}
+            aliases |= {a.asname: a.name.rsplit(".", 1)[-1] for a in node.names if a.asname}
     refs = References(aliases)
     refs.visit(tree)
     return {"symbols": symbols, "imports": imports, "raw": raw, "refs": refs.rows, "calls": sorted(calls)}
@@ -202,20 +216,49 @@ def scanned_file(text: str, ext: str) -> list[tuple]:
 def generic_symbols(text: str) -> list[tuple]:
     out = []
     for i, line in enumerate(text.splitlines(), 1):
-        for kind, p in (("class", rf"\b(?:export\s+)?class\s+{NAME}"), ("function", rf"\b(?:export\s+)?(?:async\s+)?function\s+{NAME}"), ("function", rf"\b(?:export\s+)?(?:const|let|var)\s+{NAME}\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")):
+        for kind, p in C.LINE_SYMBOLS:
             if m := re.search(p, line):
                 out.append((m[1], kind, i, 0, [], ""))
     return out
 
 
-def line_imports(text: str, ext: str) -> tuple[list[str], list[tuple]]:
+def without_strings(text: str, ext: str) -> str:
+    """The text with strings and comments blanked out, line by line the same."""
+    strings, comments = next((parts for types, parts in S.LEXEMES.items() if ext in types), S.OTHER_LEXEMES)
+    return re.sub("|".join((*strings, *comments)), lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def line_calls(text: str, symbols: list[tuple]) -> set[tuple]:
+    """Calls of classes' methods in the lines of each function or method, told by capitals. A name made from a class anywhere
+    above the end of the function stands for that class."""
+    lines, out = text.splitlines(), set()
+    for name, kind, line, end, *_ in symbols:
+        if kind not in ("function", "method"):
+            continue
+        last = end or next((i for i in range(line, len(lines)) if re.match(r"\s*(?:async\s+def|def|class|function)\s", lines[i])), len(lines))
+        made = {m[1]: m[2] for own in lines[:last] for m in re.finditer(C.MADE_OF_CLASS, own)}
+        found: dict[tuple, bool] = {}
+        for own in lines[line:last] if last > line else lines[line - 1 : line]:
+            said = [(m[1], m[2], False) for p in (C.CALL_OF_NEW, C.CALL_OF_CLASS) for m in re.finditer(p, own)]
+            said += [(made[m[1]], m[2], True) for m in re.finditer(C.CALL_OF_NAME, own) if m[1] in made]
+            for owner, method, inferred in said:
+                found.setdefault((owner, method), inferred)
+        out |= {(name, c, m, i) for (c, m), i in found.items()}
+    return out
+
+
+def line_imports(text: str, ext: str, scanned: bool) -> tuple[list[str], list[tuple]]:
+    """Import targets by line. Where a scanner gave the symbols, lines that look like comments are skipped and the import is its target's
+    name; else it is the line."""
     imports, raw = [], []
     for line in text.splitlines():
+        if scanned and line.lstrip().startswith(("//", "#", "/*", "*")):
+            continue
         for p in (C.REQUIRE, C.IMPORT_FROM, *([C.RUST_USE] if ext == ".rs" else []), *([C.GO_IMPORT] if ext == ".go" else [])):
             for m in re.finditer(p, line):
-                target = m[1].replace("::", ".") if p is C.RUST_USE else m[1]
-                if p is not C.GO_IMPORT or "/" in target or "." not in target:
-                    imports.append(line.strip())
+                target = m[1].replace("::", ".") if p is C.RUST_USE and not scanned else m[1]
+                if scanned or p is not C.GO_IMPORT or "/" in target or "." not in target:
+                    imports.append(target if scanned else line.strip())
                     raw.append((0, target))
     return imports, raw
 
@@ -233,25 +276,27 @@ def analyze(path: str, text: str) -> tuple:
         info["symbols"] = scanned_file(text, ext)
         analyzer = "syntax_scan" if info["symbols"] and ext in _COMPILED else "regex"
         info["symbols"] = info["symbols"] or generic_symbols(text)
-        info["imports"], info["raw"] = line_imports(text, ext)
+        info["imports"], info["raw"] = line_imports(text, ext, analyzer == "syntax_scan")
+        info["calls"] = sorted(line_calls(text, info["symbols"]))
         declared = {(s[2], s[0].rsplit(".", 1)[-1]) for s in info["symbols"]}
-        info["refs"] = [(i, w, None, False, False) for i, line in enumerate(text.splitlines(), 1) for w in re.findall(r"[A-Za-z_$][\w$]*", line) if (i, w) not in declared]
+        seen = without_strings(text, ext) if analyzer == "syntax_scan" else text
+        info["refs"] = [(i, w, None, False, False) for i, line in enumerate(seen.splitlines(), 1) for w in re.findall(r"[A-Za-z_$][\w$]*", line) if (i, w) not in declared]
     code = python_code(text) if ext == ".py" else None
     return path, analyzer, code, [(i, *s) for i, s in enumerate(info["symbols"])], info["imports"], [(i, *r) for i, r in enumerate(info["raw"])], info["refs"], info["calls"]
 
 
 def analyzed(files: DataFrame) -> DataFrame:
-    """files (path, text, …) with what one parse of each gives; comments of other languages are stripped in the JVM."""
+    """files (path, text, …) with what one parse of each gives, in one pass; comments of other languages are stripped in the JVM."""
+    new = T.StructType.fromDDL(NEW)
+    kept = T.StructType([f for f in files.schema.fields if f.name not in new.fieldNames()])
+    fields = {f.name: f.dataType.elementType.fieldNames() for f in new.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in ("path", "analyzer", "code", "symbols", "imports", "raw_imports", "refs", "calls")]
         for part in parts:
-            rows = [analyze(p, t or "") for p, t in zip(part["path"], part["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=names)
-            fields = {"symbols": ("pos", "name", "kind", "line", "end_line", "methods", "signature"), "raw_imports": ("pos", "level", "target"), "refs": ("line", "ident", "alias_of", "attribute", "shadowed"), "calls": ("symbol", "class_name", "method_name", "inferred")}
-            for c, f in fields.items():
-                out[c] = [[dict(zip(f, x, strict=True)) for x in xs] for xs in out[c]]
-            yield out
-
-    found = files.select("path", "text").mapInPandas(run, SCHEMA)
-    return files.join(found, "path").withColumn("code", F.coalesce("code", S.without_comments(F.col("text"))))
+            out = pd.DataFrame([analyze(p, t or "")[1:] for p, t in zip(part["path"], part["text"], strict=True)], columns=new.fieldNames(), index=part.index)
+            for c, names in fields.items():
+                out[c] = [[dict(zip(names, x, strict=True)) for x in xs] for xs in out[c]]
+            yield pd.concat([part, out], axis=1)
+
+    found = files.select(*kept.fieldNames()).mapInPandas(run, T.StructType([*kept.fields, *new.fields]))
+    return found.withColumn("code", F.coalesce("code", S.without_comments(F.col("text"), S.suffix(F.col("path")))))

@@ -49,11 +49,18 @@ def neighbors(commit_files: DataFrame, target: object, top: int = 10) -> DataFra
     return rows.where(F.col("path") != F.lit(target)).join(own, "commit", "left_semi").groupBy("path").agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "path").limit(top)
 
 
-def cochange(commit_files: DataFrame, top: int) -> DataFrame:
-    """The top pairs (a < b) over all commits. The pairs of a commit are what the operator counts; commits are small."""
+def cochange(commit_files: DataFrame, top: int, block: int = 500) -> DataFrame:
+    """The top pairs (a < b) over all commits. All pairs of a commit are what the operator counts; a commit of more than `block`
+    paths is dealt to blocks, and each pair of blocks meets under a key of its own."""
     rows = commit_files.select("commit", "path").distinct()
-    a, b = rows.select("commit", F.col("path").alias("a")), rows.select("commit", F.col("path").alias("b"))
-    return a.join(b, "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "a", "b").limit(top)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    large = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > block).select("commit", blocks.alias("blocks"))
+    # only large commits are copied, as often as they have blocks; in the rest all paths share block 0
+    dealt = rows.join(large, "commit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("commit", F.col("path").alias("a"), F.col("own").alias("i"), others.alias("j"))
+    b = dealt.select("commit", F.col("path").alias("b"), F.col("own").alias("j"), others.alias("i"))
+    return a.join(b, ["commit", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "a", "b").limit(top)
 
 
 def ownership(blame: DataFrame) -> DataFrame:
@@ -62,6 +69,11 @@ def ownership(blame: DataFrame) -> DataFrame:
     return per.withColumn("per_mille", F.floor(1000 * F.col("lines") / F.sum("lines").over(Window.partitionBy("path"))).cast("long"))
 
 
+def indexed(commit_files: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows whose path the corpus has."""
+    return commit_files.join(files.select("path"), "path", "left_semi")
+
+
 def last_touch(blame: DataFrame) -> DataFrame:
     """By path: the commit of the last line, and the newest commit."""
     return blame.groupBy("path").agg(F.max_by("sha", "line_no").alias("last_line_commit"), F.max_by("sha", "ts").alias("newest_commit"))

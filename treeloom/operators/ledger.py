@@ -22,19 +22,37 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append(rows: DataFrame, path: str, everywhere: str | None = None) -> None:
+    """Add rows to a repository's ledger and, where given, to the one of all repositories, which tells them by `repo`."""
+    rows.drop("repo").write.mode("append").json(path)
+    if everywhere:
+        rows.write.mode("append").json(everywhere)
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """One row for each (ts, command): the first source's."""
+def sink(path: str, everywhere: str | None = None):
+    """For writeStream.foreachBatch: appends each batch."""
+    return lambda rows, _: append(rows, path, everywhere)
+
+
+def once(rows: DataFrame, *order: str) -> DataFrame:
+    """One row for each (ts, command): the first source's, then the least by `order`."""
     columns = [c for c in rows.columns if c not in ("ts", "command")]
-    return rows.groupBy("ts", "command").agg(F.min_by(F.struct(*columns), F.col("src_rank")).alias("r")).select("ts", "command", "r.*")
+    return rows.groupBy("ts", "command").agg(F.min_by(F.struct(*columns), F.struct("src_rank", *order)).alias("r")).select("ts", "command", "r.*")
+
+
+def gain(spark: SparkSession, scope: str, repo: str, everywhere: str) -> DataFrame:
+    """The ledger's rows in a scope: `repo`, `global`, or `all` (both, a row that both have once, the repository's first)."""
+    return {"repo": lambda: read(spark, repo), "global": lambda: read(spark, everywhere), "all": lambda: once(read(spark, repo, everywhere))}[scope]()
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """The totals with a bar of the share saved."""
+    return totals(rows).withColumn("bar", S.meter(F.col("saved_per_mille")))
 
 
-def totals(rows: DataFrame) -> DataFrame:
+def totals(rows: DataFrame, *by: str) -> DataFrame:
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw_tokens", "output_tokens", "saved_tokens")]
-    return rows.agg(F.count("*").alias("commands"), *sums).withColumn("saved_per_mille", S.per_mille(F.col("saved_tokens"), F.col("raw_tokens")))
+    return rows.groupBy(*by).agg(F.count("*").alias("commands"), *sums).withColumn("saved_per_mille", S.per_mille(F.col("saved_tokens"), F.col("raw_tokens")))
 
 
 def top(rows: DataFrame, n: int = 8) -> DataFrame:
@@ -52,7 +70,7 @@ def parsed(command: Column) -> Column:
 def raw_analogue(command: Column) -> Column:
     """The shell command that would have been run for one of ours."""
     sub, rest = F.regexp_extract(command, r"^\S+\s+(\S+)", 1), F.regexp_extract(command, r"^\S+\s+\S+\s*(.*)$", 1)
-    return F.when(sub == "read", F.concat(F.lit("cat "), rest)).when(sub == "slice", F.concat(F.lit("sed -n ... "), rest)).when(sub == "search", F.concat(F.lit("grep -rn "), rest, F.lit(" ."))).when(sub == "map", "find . -maxdepth 3 -type f").when(sub == "", command).otherwise(F.concat(F.lit("(equivalent of) "), command))
+    return F.when(sub == "read", F.concat(F.lit("cat "), rest)).when(sub == "slice", F.concat(F.lit("sed -n ... "), rest)).when(sub == "search", F.concat(F.lit("grep -rn "), rest, F.lit(" ."))).when(sub == "map", "find . -maxdepth 3 -type f").when(sub.isin(*C.NO_ANALOGUE), C.NO_ANALOGUE_TEXT).when(sub == "", command).otherwise(F.concat(F.lit("(equivalent of) "), command))
 
 
 def rewrite(command: str, tool: str = "treeloom") -> str | None:
@@ -87,13 +105,14 @@ def rewrite(command: str, tool: str = "treeloom") -> str | None:
 
 
 def rewritten(commands: DataFrame, column: str = "command", tool: str = "treeloom") -> DataFrame:
-    """commands with a column `rewritten`; quoting rules need Python, batches go by Arrow."""
+    """commands with a column `rewritten`; quoting rules need Python, batches go by Arrow, but for those with metacharacters."""
 
     @F.pandas_udf("string")
     def policy(c: pd.Series) -> pd.Series:
         return c.map(lambda x: rewrite(x, tool) if x is not None else None)
 
-    return commands.withColumn("rewritten", policy(column))
+    known = F.col(column)
+    return commands.withColumn("rewritten", F.when(~S.metacharacters(known) | F.ltrim(known).startswith("!raw "), policy(known)))
 
 
 def savings(outputs: DataFrame) -> DataFrame:

@@ -30,6 +30,29 @@ def search(lines: DataFrame, query: str, per_file: int = 5, key: str = "path") -
     return hits.withColumn("total", F.count("*").over(own)).withColumn("n", F.row_number().over(own.orderBy("line"))).where(F.col("n") <= per_file).select(key, "line", "text", "total")
 
 
+def histogram(files: DataFrame, key: str = "lang") -> DataFrame:
+    """key, files, is_primary: the key of most files, of equal ones the first."""
+    per = files.groupBy(key).agg(F.count("*").alias("files"))
+    first = per.agg(F.min_by(key, F.struct(-F.col("files"), F.col(key))).alias("first"))
+    return per.crossJoin(F.broadcast(first)).select(key, "files", F.col(key).eqNullSafe(F.col("first")).alias("is_primary"))  # first is one row
+
+
+def important(facts: DataFrame, top: int = 20) -> DataFrame:
+    """The paths most depended on, then with most symbols, then shortest."""
+    return facts.orderBy(F.desc("dependents"), F.desc("symbols"), "lines", "path").limit(top)
+
+
+def largest(facts: DataFrame, top: int = 10) -> DataFrame:
+    """The paths of most raw tokens, then most depended on, then with most symbols."""
+    return facts.orderBy(F.desc("raw_tokens"), F.desc("dependents"), F.desc("symbols"), "path").limit(max(1, top))
+
+
+def first_of_each(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
+    """The first n rows of each key with their place (from 1) and the key's number of rows; only first rows are windowed."""
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+    return top.join(rows.groupBy(key).agg(F.count("*").alias("total")), key)
+
+
 def window_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the WINDOW bytes from each place on that has as many."""
     n = max(0, len(data) - WINDOW + 1)
@@ -136,7 +159,7 @@ def greedy(rows: DataFrame, group: str, order: list[str], cost: str, budget: int
         now, used, any_taken = object(), 0, False
         for part in parts:
             keep = []
-            for g, c in zip(part[group], part[cost], strict=True):
+            for g, c in zip(part[group].astype(object).where(part[group].notna(), None), part[cost], strict=True):
                 if g != now:
                     now, used, any_taken = g, 0, False
                 ok = not any_taken or used + c <= budget

@@ -9,12 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from ..operators import graph as G
 from ..operators import history as H
+from ..operators import ledger as L
 from ..operators import text as T
+from ..streaming import watch as W
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +45,10 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", hrefs.alias("href"))
 
 
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return links(spark, d).select(F.col("page_id").alias("src"), F.col("href").alias("dst"))
+
+
 CF = "SELECT DISTINCT l_orderkey AS c, l_partkey AS p FROM lineitem"
 CHURN = f"SELECT p, count(*) AS commits FROM ({CF}) GROUP BY p"
 LINKS = """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages"""
@@ -99,71 +105,89 @@ TOKENS = "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4)
 
 @query(f"SELECT source, sum({TOKENS})::BIGINT AS raw_tokens, count(*) AS files FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def budget(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.sum(S.tokens(F.col("text"))).alias("raw_tokens"), F.count("*").alias("files")).orderBy(F.desc("raw_tokens"), "source").limit(10)
+    per = t(spark, d, "documents").groupBy(F.col("source").alias("path")).agg(F.sum(S.tokens(F.col("text"))).alias("raw_tokens"), F.count("*").alias("dependents"))
+    return T.largest(per.withColumn("symbols", F.lit(0))).select(F.col("path").alias("source"), "raw_tokens", F.col("dependents").alias("files"))
 
 
 @query("SELECT lang, count(*) AS files, rank() OVER (ORDER BY count(*) DESC, lang) = 1 AS is_primary FROM documents GROUP BY lang")
 def language_map(spark, d):
-    per = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"))
-    first = per.agg(F.max_by("lang", F.struct("files", F.concat(F.lit(""), F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))).alias("first"))
-    return per.crossJoin(F.broadcast(first)).select("lang", "files", (F.col("lang") == F.col("first")).alias("is_primary"))  # first is one row
+    return T.histogram(t(spark, d, "documents"), "lang")
 
 
 @query("""SELECT d.doc_id, coalesce(l.n, 0) AS labelled, d.n_chars FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id) ORDER BY 2 DESC, 3, 1 LIMIT 20""")
 def important_docs(spark, d):
     per = t(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return t(spark, d, "documents").join(per, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("labelled"), "n_chars").orderBy(F.desc("labelled"), "n_chars", "doc_id").limit(20)
+    facts = t(spark, d, "documents").join(per, "doc_id", "left").select(F.col("doc_id").alias("path"), F.coalesce("n", F.lit(0)).alias("dependents"), F.lit(0).alias("symbols"), F.col("n_chars").alias("lines"))
+    return T.important(facts).select(F.col("path").alias("doc_id"), F.col("dependents").alias("labelled"), F.col("lines").alias("n_chars"))
 
 
 def _sql_pattern(p: str) -> str:
     return p.replace("'", "''")
 
 
-@query(f"SELECT doc_id, '{C.FINDINGS[0][1]}' AS finding FROM documents WHERE regexp_matches(text, '{_sql_pattern(C.FINDINGS[0][0])}')")
+def _matches(pattern: str) -> str:
+    return f"regexp_matches(text, '{_sql_pattern(pattern)}')"
+
+
+@query(" UNION ALL ".join([f"SELECT doc_id, '{label}' AS finding FROM documents WHERE {_matches(p)}" for p, label in C.FINDINGS] + [f"SELECT doc_id, '{C.RANDOMNESS[2]}' FROM documents WHERE {_matches(C.RANDOMNESS[0])} AND {_matches(C.RANDOMNESS[1])}"]))
 def secret_findings(spark, d):
-    return t(spark, d, "documents").where(F.col("text").rlike(C.FINDINGS[0][0])).select("doc_id", F.lit(C.FINDINGS[0][1]).alias("finding"))
+    """All rules over all documents."""
+    return t(spark, d, "documents").select("doc_id", F.explode(S.findings(F.col("text"))).alias("finding"))
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{label}' AS effect FROM documents WHERE {_matches(p)}" for p, label in C.SIDE_EFFECTS))
+def side_effects(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.explode(S.side_effects(F.col("text"))).alias("effect"))
 
 
-@query("""SELECT page_id AS id, 'page' AS kind, length(regexp_replace(html, '<!--.*?-->', '', 'gs'))::BIGINT AS chars FROM pages
-UNION ALL SELECT doc_id, 'document', length(regexp_replace(text, '#[^\\n]*', '', 'g'))::BIGINT FROM documents""")
+def _stripped(column: str, ext: str) -> str:
+    parts = next(x for types, x in S.LEXEMES.items() if ext in types)
+    return f"length(regexp_replace({column}, '{_sql_pattern(S.stripping(*parts))}', '\\1', 'g'))::BIGINT"
+
+
+@query(f"""SELECT page_id AS id, 'page' AS kind, {_stripped('html', '.js')} AS chars FROM pages
+UNION ALL SELECT doc_id, 'document', {_stripped('text', '.rb')} FROM documents""")
 def comment_strip(spark, d):
-    pages = t(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.length(F.regexp_replace("html", "(?s)<!--.*?-->", "")).cast("long").alias("chars"))
-    return pages.unionByName(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.length(F.regexp_replace("text", "#[^\\n]*", "")).cast("long").alias("chars")))
+    """Pages read as script, documents as a language with hash comments; strings stay whole."""
+    left = lambda c, ext: F.length(S.without_comments(F.col(c), F.lit(ext))).cast("long").alias("chars")
+    pages = t(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), left("html", ".js"))
+    return pages.unionByName(t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), left("text", ".rb")))
 
 
 @query(f"SELECT href, count(*) AS dependents FROM ({LINKS}) GROUP BY 1")
 def dependents(spark, d):
-    return links(spark, d).groupBy("href").agg(F.count("*").alias("dependents"))
+    return G.dependents(edges(spark, d)).select(F.col("path").alias("href"), "dependents")
 
 
 @query(f"SELECT href, array_to_string(list_sort(list(page_id)), ',') AS pages FROM ({LINKS}) GROUP BY 1")
 def inverse_deps(spark, d):
-    return links(spark, d).groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("page_id")), ",").alias("pages"))
+    return G.inverse(edges(spark, d)).select(F.col("path").alias("href"), F.array_join("dependent_paths", ",").alias("pages"))
 
 
 @query("""WITH p AS (SELECT page_id, url, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages),
-s AS (SELECT page_id, url, array_to_string(parts[i:], '/') AS suffix FROM p, range(1, 100) r(i) WHERE i <= len(parts)),
+s AS (SELECT page_id, url, array_to_string(parts, '/') AS at, array_to_string(parts[i:], '/') AS suffix FROM p, range(1, 100) r(i) WHERE i <= len(parts)),
 q AS (SELECT page_id AS src, parts[-1] AS probe FROM p)
-SELECT src, probe, page_id AS resolved FROM (SELECT q.src, q.probe, s.page_id, row_number() OVER (PARTITION BY q.src ORDER BY length(s.url), s.url, s.page_id) AS n
+SELECT src, probe, page_id AS resolved FROM (SELECT q.src, q.probe, s.page_id, row_number() OVER (PARTITION BY q.src ORDER BY (s.at <> s.suffix)::INT, length(s.url), s.url, s.page_id) AS n
 FROM q JOIN s ON s.suffix = q.probe) WHERE n = 1""")
 def suffix_resolve(spark, d):
-    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
-    p = t(spark, d, "pages").select("page_id", "url", parts.alias("parts"))
-    suffixes = p.select("page_id", "url", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "/"))).alias("probe"))
-    # the best page of each suffix first, so that a suffix many pages share is never multiplied
-    best = suffixes.groupBy("probe").agg(F.min_by("page_id", F.struct(F.length("url"), "url", "page_id")).alias("resolved"))
-    return p.select(F.col("page_id").alias("src"), F.element_at("parts", -1).alias("probe")).join(best, "probe").select("src", "probe", "resolved")
+    pages = t(spark, d, "pages").withColumn("at", F.regexp_replace("url", "^[a-z]+://", ""))
+    best = G.suffix_index(pages, F.col("at"), F.col("page_id"), F.struct(F.length("url"), "url", "page_id"))
+    probes = pages.select(F.col("page_id").alias("src"), F.element_at(F.split("at", "/"), -1).alias("probe"))
+    return probes.join(best.withColumnRenamed("suffix", "probe"), "probe").select("src", "probe", F.col("dst").alias("resolved"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey")
 def semi_callers(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("o_orderkey", "o_orderstatus")
+    scope = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"))
+    return G.within(t(spark, d, "orders").withColumnRenamed("o_orderkey", "path"), scope).select(F.col("path").alias("o_orderkey"), "o_orderstatus")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+@query("SELECT o_orderkey, o_orderstatus FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1")
 def anti_defs(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus")
+    """Orders without a first line: orders stand for references on line 1, order lines for definitions."""
+    refs = t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.lit(1).alias("line"), "o_orderstatus")
+    return G.without(refs, t(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"))).select(F.col("path").alias("o_orderkey"), "o_orderstatus")
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -198,27 +222,31 @@ def risk_points(spark, d):
     return o.select("o_orderkey", points.alias("points")).withColumn("level", H.risk_level(F.col("points")))
 
 
-@query("""SELECT page_id, CASE WHEN contains(h, 'blog.') THEN 'blog' WHEN contains(h, 'm.') AND starts_with(h, 'm.') THEN 'mobile' WHEN starts_with(h, 'www.') THEN 'www' ELSE 'source' END AS role
-FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS h FROM pages)""")
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '{C.TEST_ROLE}' {" ".join(f"WHEN {' OR '.join(f"contains(p, '{w}')" for w in words)} THEN '{label}'" for words, label in C.ROLES)} ELSE '{C.OTHER_ROLE}' END AS role
+FROM (SELECT page_id, lower(url || CASE page_id % 5 WHEN 1 THEN '/Service' WHEN 2 THEN '/routes/db' WHEN 3 THEN '/Schema' ELSE '' END) AS p FROM pages)""")
 def role_rules(spark, d):
-    h = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    return t(spark, d, "pages").select("page_id", F.when(h.contains("blog."), "blog").when(h.startswith("m."), "mobile").when(h.startswith("www."), "www").otherwise("source").alias("role"))
+    """Pages' addresses, some with a word of a role added; every seventh counts as a test."""
+    word = F.when(F.col("page_id") % 5 == 1, "/Service").when(F.col("page_id") % 5 == 2, "/routes/db").when(F.col("page_id") % 5 == 3, "/Schema").otherwise("")
+    return t(spark, d, "pages").select("page_id", S.role(F.concat("url", word), F.col("page_id") % 7 == 0).alias("role"))
 
 
-@query("""SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS raw_tokens, sum(event_id // 3)::BIGINT AS output_tokens FROM (
+@query("""SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS raw_tokens, sum(event_id // 3)::BIGINT AS output_tokens,
+sum(event_id - event_id // 3)::BIGINT AS saved_tokens, (CASE WHEN sum(event_id) = 0 THEN 0 ELSE 1000 * sum(event_id - event_id // 3) // sum(event_id) END)::BIGINT AS saved_per_mille FROM (
 SELECT *, row_number() OVER (PARTITION BY ts, user_id ORDER BY src, event_id) AS k FROM (SELECT *, 0 AS src FROM events UNION ALL SELECT *, 1 FROM events WHERE event_type = 'click')) WHERE k = 1 GROUP BY 1""")
 def ledger_rollup(spark, d):
     e = t(spark, d, "events")
     both = e.withColumn("src", F.lit(0)).unionByName(e.where("event_type = 'click'").withColumn("src", F.lit(1)))
-    first = both.groupBy("ts", "user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct("src", "event_id")).alias("e")).select("e.*")
-    return first.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("raw_tokens"), F.sum(F.floor(F.col("event_id") / 3)).cast("long").alias("output_tokens"))
+    third = F.floor(F.col("event_id") / 3).cast("long")
+    rows = both.select("ts", F.col("user_id").alias("command"), F.col("src").alias("src_rank"), F.col("event_id").alias("raw_tokens"), third.alias("output_tokens"), (F.col("event_id") - third).alias("saved_tokens"), "event_type")
+    return L.totals(L.once(rows, "raw_tokens"), "event_type").select("event_type", F.col("commands").alias("n"), "raw_tokens", "output_tokens", "saved_tokens", "saved_per_mille")
 
 
-@query("""SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) AS ended_us, count(*) AS n FROM (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+@query("""SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) AS ended_us, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM (SELECT user_id, ts, event_type, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
 SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""")
 def session_debounce(spark, d):
-    e = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
-    return e.select("user_id", F.unix_micros(F.col("a").cast("timestamp")).alias("began_us"), F.unix_micros(F.col("b").cast("timestamp")).alias("ended_us"), "n")
+    e = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"))
+    bursts = W.debounced(e, "user_id", gap="30 minutes")
+    return bursts.select("user_id", F.unix_micros("began").alias("began_us"), F.unix_micros("last").alias("ended_us"), F.col("events").alias("n"), F.array_join("paths", ",").alias("kinds"))
 
 
 @query(f"""WITH RECURSIVE r AS (SELECT source, doc_id, {TOKENS} AS tokens, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents),
@@ -230,17 +258,72 @@ def budget_pack(spark, d):
     return T.greedy(rows, "source", ["minus", "doc_id"], "tokens", 20000).select("source", "doc_id", "tokens")
 
 
-@query("SELECT c_custkey AS id, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey AS id, n_name AS nation, r_name AS region, 'in ' || r_name AS effects FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def chain_lookup(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    """Customers stand for routes, their nations for handlers, those nations' regions for the classes that are called."""
+    nations, regions = t(spark, d, "nation"), t(spark, d, "region")
+    routes = t(spark, d, "customer").select(F.col("c_custkey").alias("route"), F.col("c_nationkey").alias("handler"))
+    symbols = nations.select(F.col("n_name").alias("handler_path"), F.col("n_nationkey").alias("handler"))
+    calls = nations.select(F.col("n_name").alias("handler_path"), F.col("n_nationkey").alias("handler"), F.col("n_regionkey").alias("class_name"), F.lit("of").alias("method_name"), F.lit(False).alias("inferred"))
+    classes = regions.select(F.col("r_regionkey").alias("class_name"), F.col("r_name").alias("class_path"), F.array(F.lit("of")).alias("methods"))
+    effects = regions.select(F.col("r_name").alias("class_path"), F.array(F.concat(F.lit("in "), "r_name")).alias("side_effects"))
+    chain = G.call_chain(routes, symbols, calls, classes, effects)
+    return chain.select(F.col("route").alias("id"), F.col("handler_path").alias("nation"), F.col("class_path").alias("region"), F.array_join("side_effects", ",").alias("effects"))
 
 
 @query("""SELECT doc_id, total, n AS per_source_rank FROM (SELECT doc_id, count(*) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 5""")
 def hits_per_file(spark, d):
     """The five longest documents of each source and the source's count; only the top rows are windowed."""
     docs = t(spark, d, "documents").select("doc_id", "source", "n_chars")
-    top = docs.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("n <= 5")
-    return top.join(docs.groupBy("source").agg(F.count("*").alias("total")), "source").select("doc_id", "total", F.col("n").cast("long").alias("per_source_rank"))
+    return T.first_of_each(docs, "source", [F.desc("n_chars"), "doc_id"], 5).select("doc_id", "total", F.col("place").cast("long").alias("per_source_rank"))
+
+
+@query("SELECT doc_id, CASE WHEN n = 0 THEN NULL ELSE n END AS lines, length(text)::BIGINT AS chars FROM (SELECT doc_id, text, len(string_split(text, chr(10))) - (text LIKE '%' || chr(10) OR text = '')::INT AS n FROM documents)")
+def line_counts(spark, d):
+    """Lines of whole documents as the line table has them; only line feeds part lines in these tables."""
+    docs = t(spark, d, "documents")
+    per = T.line_table(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("lines"))
+    return docs.join(per, "doc_id", "left").select("doc_id", "lines", F.length("text").cast("long").alias("chars"))
+
+
+@query("""SELECT path, risk, blast FROM (SELECT url AS path, d, h, CASE WHEN h OR d > 3 OR regexp_matches(lower(url), 'auth|db|session|payment') THEN 'HIGH' WHEN d > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+CASE WHEN h OR d > 5 OR regexp_matches(lower(url), 'auth|db|session|payment|billing') THEN 'HIGH' WHEN d > 0 THEN 'MEDIUM' ELSE 'LOW' END AS blast FROM (SELECT url, page_id % 8 AS d, page_id % 13 = 0 AS h FROM pages))""")
+def impact_rules(spark, d):
+    """The verdicts of impact and preflight over pages' addresses, with dependents and hotspots made from their numbers."""
+    n, hot = F.col("page_id") % 8, F.col("page_id") % 13 == 0
+    return t(spark, d, "pages").select(F.col("url").alias("path"), H.impact_risk(F.col("url"), n, hot).alias("risk"), H.blast_radius(F.col("url"), n, hot).alias("blast"))
+
+
+@query("""SELECT path, array_to_string(list_sort(list(DISTINCT path || '>' || href)), ',') AS shown FROM (SELECT page_id AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) WHERE path % 20 = 0 GROUP BY 1""")
+def related_paths(spark, d):
+    """Link targets of every twentieth page, through the edge list turned round."""
+    turned = edges(spark, d).where("src % 20 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return G.inverse(turned).select("path", F.array_join(F.transform("dependent_paths", lambda x: F.concat(F.col("path").cast("string"), F.lit(">"), x)), ",").alias("shown"))
+
+
+COMMANDS = ("cat a.py", "head -5 src/b.ts", "tail -f a.py", "cat a.py b.py", "grep foo", "rg 'a b'", "grep -r foo", "find .", "tree", "git status", "git diff", "git log", "pytest -q", "npm test", "go test ./...", "ls -la", "cat a.py | wc", "cat notes.txt", "!raw cat a.py", "")
+
+
+@query()
+def rewrite_policy(spark, d):
+    """The command policy over the events, each with one of the commands; rows only: quoting rules are no SQL."""
+    which = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (F.col("event_id") % len(COMMANDS) + 1).cast("int"))
+    commands = L.rewritten(t(spark, d, "events").select(which.alias("command"))).groupBy("command", "rewritten").agg(F.count("*").alias("n"))
+    return commands.withColumn("analogue", L.raw_analogue(F.col("rewritten"))).withColumn("said", L.parsed(F.concat(F.lit("hook: "), "command", F.lit(" -> "), F.coalesce("rewritten", F.lit("")))))
+
+
+@query(f"SELECT doc_id, {TOKENS}::BIGINT AS raw_tokens, (length(lang) // 4 + (length(lang) BETWEEN 1 AND 3)::INT)::BIGINT AS output_tokens FROM documents")
+def savings(spark, d):
+    """What a document would cost raw, and what its language name costs."""
+    outputs = t(spark, d, "documents").select(F.col("doc_id").alias("command"), F.col("text").alias("raw"), F.col("lang").alias("compact"))
+    return L.savings(outputs).select(F.col("command").alias("doc_id"), "raw_tokens", "output_tokens")
+
+
+@query("""SELECT lower(event_type) AS state, count(*) AS files FROM events GROUP BY 1""")
+def status_counts(spark, d):
+    from ..sources import git
+
+    return git.status_counts(t(spark, d, "events").select(F.lower("event_type").alias("state"), F.col("event_id").alias("path")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

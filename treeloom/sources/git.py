@@ -1,22 +1,31 @@
-"""Version-control history as tables; git runs on the driver, once a table."""
+"""Version-control history as tables. The log is a data source read in slices; the rest runs git once a question on the driver."""
 
 from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPANS = {"m": "minutes", "h": "hours", "d": "days", "w": "weeks", "y": "years"}
+LOG = "commit string, commit_ord long, ts long, author string, path string"
 
 
-def git(root: str, *args: str, timeout: float = 30) -> str:
-    """Its output; empty on any failure."""
+def git_bytes(root: str, *args: str, given: bytes | None = None, timeout: float = 60) -> bytes | None:
+    """Its output; None on any failure."""
     try:
-        run = subprocess.run(["git", "-C", root, *args], capture_output=True, timeout=timeout, check=False)
+        run = subprocess.run(["git", "-C", root, *args], input=given, capture_output=True, timeout=timeout, check=False)
     except (OSError, subprocess.TimeoutExpired):
-        return ""
-    return run.stdout.decode("utf-8", "replace") if run.returncode == 0 else ""
+        return None
+    return run.stdout if run.returncode == 0 else None
+
+
+def git(root: str, *args: str) -> str:
+    """Its output as text; empty on any failure."""
+    return (git_bytes(root, *args) or b"").decode("utf-8", "replace")
 
 
 def since_argument(since: str | None) -> list[str]:
@@ -27,21 +36,55 @@ def since_argument(since: str | None) -> list[str]:
     return [f"--since={m[1]} {SPANS[m[2]]} ago" if m else f"--since={since}"]
 
 
+class Slice(InputPartition):
+    def __init__(self, skip: int, many: int) -> None:
+        self.skip, self.many = skip, many
+
+
+class LogReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.root, self.since = options["path"], options.get("since") or None
+        self.most, self.each = int(options.get("most", "2000")), int(options.get("commitsPerPartition", "500"))
+
+    def partitions(self) -> list[Slice]:
+        """Slices of the newest commits; only their number is asked here."""
+        many = min(self.most, int(git(self.root, "rev-list", "--count", *since_argument(self.since), "HEAD") or 0))
+        return [Slice(i, min(self.each, many - i)) for i in range(0, many, self.each)] or [Slice(0, 0)]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        if not partition.many:
+            return
+        said = git(self.root, "log", *since_argument(self.since), "--name-only", "--no-renames", "-z", f"--skip={partition.skip}", f"-n{partition.many}", "--format=%x01%H%x02%ct%x02%an")
+        for i, block in enumerate(said.split("\x01")[1:]):
+            head, *paths = block.replace("\n", "\0").split("\0")
+            sha, ts, author = head.split("\x02")
+            for path in filter(None, paths):
+                yield sha, partition.skip + i, int(ts), author, path
+
+
+class LogSource(DataSource):
+    """spark.read.format("git_log").load(root); options since, most, commitsPerPartition. Executors must see the repository."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_log"
+
+    def schema(self) -> str:
+        return LOG
+
+    def reader(self, schema) -> LogReader:
+        return LogReader(self.options)
+
+
 def commit_files(spark: SparkSession, root: str, since: str | None = None, most: int = 2000) -> DataFrame:
-    """commit, commit_ord (0: newest), ts, author, path of the newest commits that touch files."""
-    rows, ord_ = [], -1
-    for block in git(root, "log", *since_argument(since), "--name-only", "--no-renames", "-z", f"-n{most}", "--format=%x01%H%x02%ct%x02%an").split("\x01")[1:]:
-        head, *paths = block.replace("\n", "\0").split("\0")
-        sha, ts, author = head.split("\x02")
-        paths = [p for p in paths if p]
-        ord_ += bool(paths)
-        rows += [(sha, ord_, int(ts), author, p) for p in paths]
-    return spark.createDataFrame(rows, "commit string, commit_ord long, ts long, author string, path string")
+    """commit, commit_ord (0: newest), ts, author, path of the newest commits; those without files have no row."""
+    spark.dataSource.register(LogSource)
+    return spark.read.format("git_log").option("since", since or "").option("most", str(most)).load(root)
 
 
 def blame(spark: SparkSession, root: str, path: str, first: int = 1, last: int | None = None) -> DataFrame:
-    """path, line_no, sha, author, ts, summary of a range of lines."""
-    rows, now, seen = [], {}, {}
+    """path, line_no, sha, author, ts, summary of a range of lines of one file."""
+    rows, now = [], {}
     for line in git(root, "blame", f"-L{first},{last or ''}", "--line-porcelain", "--", path).split("\n"):
         if m := re.match(r"([0-9a-f]{40}) \d+ (\d+)", line):
             now = {"sha": m[1][:8], "line": int(m[2])}
@@ -50,7 +93,6 @@ def blame(spark: SparkSession, root: str, path: str, first: int = 1, last: int |
         elif " " in line:
             key, value = line.split(" ", 1)
             now[key] = value
-    del seen
     return spark.createDataFrame(rows, "path string, line_no long, sha string, author string, ts long, summary string")
 
 
@@ -61,8 +103,15 @@ def changed(spark: SparkSession, root: str, base: str | None = None) -> DataFram
 
 
 def show(spark: SparkSession, root: str, ref: str, paths: list[str]) -> DataFrame:
-    """path, text at a ref; a path that the ref lacks has no row."""
-    rows = [(p, text) for p in paths if (text := git(root, "show", f"{ref}:{p}"))]
+    """path, text at a ref, by one process; an empty file has an empty text, a path that the ref lacks no row."""
+    said, rows = git_bytes(root, "cat-file", "--batch", given="".join(f"{ref}:{p}\n" for p in paths).encode()) or b"", []
+    for path in paths:
+        head, _, said = said.partition(b"\n")
+        if m := re.fullmatch(rb"[0-9a-f]+ (\w+) (\d+)", head):
+            size = int(m[2])
+            if m[1] == b"blob":
+                rows.append((path, said[:size].decode("utf-8", "replace")))
+            said = said[size + 1 :]
     return spark.createDataFrame(rows, "path string, text string")
 
 
@@ -72,5 +121,10 @@ def status(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "state string, path string")
 
 
+def status_counts(states: DataFrame) -> DataFrame:
+    """How many paths are in each state."""
+    return states.groupBy("state").agg(F.count("*").alias("files"))
+
+
 def diff_stat(root: str) -> str:
     return git(root, "diff", "--stat")
