@@ -61,6 +61,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def with_heavy(rows: DataFrame, table: DataFrame, keys: list[str], many: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of `table`, null where it lacks the key; a left join whatever the skew.
+
+    table: one row a key, `many` telling how many rows have it. Keys with more than 1/share of all rows are fewer than `share`, so
+    their part of the table is broadcast; the other keys' rows are shuffled, and none of those is hot.
+    """
+    total = table.agg(F.sum(many)).first()[0] or 0
+    heavy, light = table.where(F.col(many) * share > total), table.where(F.col(many) * share <= total)
+    hot = F.broadcast(heavy)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(light.hint("merge"), keys, "left"))
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 _RESIDENT: dict[tuple, object] = {}
