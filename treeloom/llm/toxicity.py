@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, column, held_out, mix, slices, texts_of, trimmed, words
+from .common import code_points, column, give_back, held_out, mix, slices, texts_of, trimmed, words
 
 DECAY = 0.6
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
@@ -126,8 +126,8 @@ def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
     keep = at > 0
     out = np.zeros((len(own), len(landmarks)))
     owner, sums, at = a[0][keep], a[2][keep], at[keep]
-    for i in range(0, len(own), 1000):
-        lo, hi = np.searchsorted(owner, [i, i + 1000])
+    for i in range(0, len(own), 300):
+        lo, hi = np.searchsorted(owner, [i, i + 300])
         if lo < hi:
             firsts = np.flatnonzero(np.append(True, owner[lo + 1 : hi] != owner[lo : hi - 1]))
             out[owner[lo:hi][firsts]] = np.add.reduceat(sums[lo:hi, None].astype(np.float32) * dense[at[lo:hi]], firsts)
@@ -269,11 +269,17 @@ class Trainer:
 
     def __post_init__(self) -> None:
         self.spelt = spell(self.bags.names)
-        word, key, _ = features(*self.spelt, offsets=((1, 2, 3),))
-        self.gram_word = word
-        self.many, self.gram = (lambda u, i: (len(u), i))(*np.unique(key, return_inverse=True))
-        self.by_word = self.gram[np.argsort(word, kind="stable")]
-        self.starts = np.append(0, np.cumsum(np.bincount(word, minlength=len(self.bags.names))))[:-1]
+        chars, starts, lengths = self.spelt
+        parts = []
+        for a in range(0, len(starts), 20_000):  # a run's word and its run come in order of the word
+            word, key, _ = features(chars, starts[a : a + 20_000], lengths[a : a + 20_000], ((1, 2, 3),))
+            parts.append(((word + a).astype(np.int32), key.astype(np.int32)))
+        self.gram_word, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+        unique, inverse = np.unique(key, return_inverse=True)
+        self.many, self.gram = len(unique), inverse.astype(np.int32)
+        self.starts = np.append(0, np.cumsum(np.bincount(self.gram_word, minlength=len(self.bags.names))))[:-1]
+        del parts, key, unique, inverse
+        give_back()
         self.letters = "".join(sorted({c for w in self.bags.names for c in w if c.isalpha()}))[:200] or "x"
 
     def values(self, machine: Machine, which: np.ndarray) -> np.ndarray:
@@ -294,7 +300,7 @@ class Trainer:
         alone = likelihood(c1, c0, n1, n0)
         dark_run, clean_run = (np.bincount(self.gram, c[self.gram_word], self.many) for c in (c1, c0))
         runs = likelihood(dark_run, clean_run, n1, n0)
-        best = lambda worth: np.maximum.reduceat(worth[self.by_word], self.starts)
+        best = lambda worth: np.maximum.reduceat(worth[self.gram], self.starts)
         shared = best(runs)
         telling = np.maximum(alone, shared)
         rare = (c0 * n1 * 4 <= c1 * n0) & (self.spelt[2] > 1)  # single characters tell as the word they spell
@@ -371,14 +377,15 @@ def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_
     most toxic; those also join the negative examples, which else are the most frequent clean words. As many more machines as `parts`,
     each learned from all other parts of the documents, score their own part; the logistic curve is fitted to these scores.
     """
+    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % parts for t, _ in rows])
     bags = Bags.of(rows)
+    del rows
     trainer = Trainer(bags, cost)
-    found = trainer.machine(np.ones(len(rows), bool), landmarks, negatives, rounds) if len(bags.names) else None
+    found = trainer.machine(np.ones(len(part), bool), landmarks, negatives, rounds) if len(bags.names) else None
     if found is None:
         return None
     machine, firm = found
-    part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % parts for t, _ in rows])
-    tops, told = np.full((len(rows), TOP), FLOOR), np.zeros(len(rows), bool)
+    tops, told = np.full((len(part), TOP), FLOOR), np.zeros(len(part), bool)
     for k in range(parts):
         other = trainer.machine(part != k, landmarks, negatives, rounds)
         if other is None:
@@ -391,13 +398,15 @@ def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_
         tops[own] = tops_of(np.repeat(np.arange(len(own)), [len(bags.docs[i]) for i in own]), value[word], word, len(own))
         told[own] = True
     if len({*bags.labels[told].tolist()}) < 2:
-        value, told = trainer.values(machine, np.arange(len(bags.names))), np.ones(len(rows), bool)
+        value, told = trainer.values(machine, np.arange(len(bags.names))), np.ones(len(part), bool)
         word = np.concatenate(bags.docs)
-        tops = tops_of(np.repeat(np.arange(len(rows)), [len(d) for d in bags.docs]), value[word], word, len(rows))
+        tops = tops_of(np.repeat(np.arange(len(part)), [len(d) for d in bags.docs]), value[word], word, len(part))
     # a word that tells by itself is enough: each stands for a document of its own, as the machine sees it
     lone = np.full((len(firm), TOP), FLOOR)
     if firm:
         lone[:, 0] = np.clip(machine.words(*spell(firm)), FLOOR, CEILING)
+    del trainer
+    give_back()
     machine.weights, machine.shift = logistic(np.vstack([tops[told], lone]), np.append(bags.labels[told], np.ones(len(firm), np.int64)))
     return machine
 
