@@ -388,7 +388,8 @@ def test_dedup(docs, texts):
     got = {r.doc_id: r.class_id for r in weighted_dedup.classes(docs).collect()}
     bags = {k: shingle_bag(t) for k, t in texts.items()}
     df = collections.Counter(s for b in bags.values() for s in b)
-    weight = lambda s: 1 + weighted_dedup.DAMPED * math.log((len(bags) + 1) / (df[s] + 1)) / math.log(len(bags) + 1)
+    n = sum(bool(b) for b in bags.values())
+    weight = lambda s: 1 + weighted_dedup.DAMPED * math.log(n / max(df[s], n / 200)) / math.log(200)
     label = {k: k for k in bags}
 
     def root(i):
@@ -406,6 +407,43 @@ def test_dedup(docs, texts):
     assert got == {k: root(k) for k in bags}
 
 
+def test_frequencies_are_exact_at_any_size(spark):
+    """Frequent shingles have their exact weight, all others the same; the weights of a corpus repeated ten times are its own."""
+    r = random.Random(37)
+    rows = [" ".join(str(r.randrange(10**9)) for _ in range(30)) + (" every fifth text ends so" if i % 5 == 0 else "") + (" and one in a hundred so too" if i % 100 == 0 else "") for i in range(600)]
+    one, ten = (spark.createDataFrame([(t,) for t in rows * k], "text string").repartition(7) for k in (1, 10))
+    first, more = weighted_dedup.frequencies(one), weighted_dedup.frequencies(ten)
+    bags = [shingle_bag(t) for t in rows]
+    df = collections.Counter(s for b in bags for s in b)
+    often = [s for s in df if df[s] > 3]
+    assert len(first.keys) == len(often) and (first.keys == more.keys).all() and np.allclose(first.weights, more.weights) and first.rare == pytest.approx(more.rare)
+    hashes = weighted_dedup.shingles(pa.array([" ".join(s) for s in often]))
+    want = [1 + weighted_dedup.DAMPED * math.log(600 / df[s]) / math.log(200) for s in often]
+    assert sorted(first(hashes[0])) == pytest.approx(sorted(want), rel=1e-5) and first(np.array([12345], np.uint64))[0] == pytest.approx(1.2)
+
+
+def test_dedup_recall_of_true_pairs(spark):
+    """Of all pairs of sf0.01 whose weighted similarity is at least 0.8, found by an inverted index of exact shingles, at least 0.99 share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in weighted_dedup.classes(docs).collect()}
+    bags = {r.doc_id: shingle_bag(r.text or "") for r in docs.select("doc_id", "text").collect()}
+    df = collections.Counter(s for b in bags.values() for s in b)
+    n = sum(bool(b) for b in bags.values())
+    weight = {s: 1 + weighted_dedup.DAMPED * math.log(n / max(c, n / 200)) / math.log(200) for s, c in df.items()}
+    total = {k: sum(c * weight[s] for s, c in b.items()) for k, b in bags.items()}
+    index = collections.defaultdict(list)
+    for k, b in bags.items():
+        for s in b:
+            if df[s] > 1:
+                index[s].append(k)
+    shared = collections.Counter()
+    for s, ks in index.items():
+        for x, y in itertools.combinations(sorted(ks), 2):
+            shared[x, y] += min(bags[x][s], bags[y][s]) * weight[s]
+    true = [p for p, v in shared.items() if v >= 0.8 * (total[p[0]] + total[p[1]] - v)]
+    assert len(true) >= 50 and sum(got[x] == got[y] for x, y in true) >= 0.99 * len(true)
+
+
 def test_dedup_chain_is_not_lost(spark):
     """Each version replaces a part of the one before: neighbours are alike, the ends are not, and no leader matches all."""
     r = random.Random(9)
@@ -462,6 +500,46 @@ def test_quality(docs, texts):
         assert not (r.kept and r.base_failed)
 
 
+def test_host_rates_equal_the_plain_formula(spark):
+    """Every rule's rate at every host, shrunk by hand; hosts of one document and of a third of all; no source, no host."""
+    r = random.Random(31)
+    good = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    kinds = [good, lambda: "too short", lambda: "a b c " * 30, lambda: good() + " ###########", lambda: (good() + "\n") + "same line\n" * 9]
+    hosts = ["big"] * 60 + [f"h{i}" for i in range(12) for _ in range(1 + i % 4 * 5)] + [None] * 6 + [""] * 4
+    rows = [(i, kinds[(zlib.crc32(str(h).encode()) + (r.random() < 0.5) * r.randrange(5)) % 5](), h) for i, h in enumerate(hosts)]
+    got = quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas().set_index("doc_id")
+    fails = {}
+    for i, t, h in rows:
+        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        threes = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        marked = {k + j for k in range(len(w) - 2) if threes[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        fails[i] = [len(w) < 50, 100 * len(marked) > 50 * len(w), 10 * sum(t.count(c) for c in "#*$%&|<>") > len(w), 10 * (len(lines) - len({*lines})) > 3 * len(lines)]
+    named = {h for h in hosts if h is not None}
+    of = {h: [fails[i] for i, _, x in rows if x == h] for h in named}
+    n = sum(map(len, of.values()))
+    rate = {h: [] for h in named}
+    for k in range(4):
+        bad = {h: sum(f[k] for f in of[h]) for h in named}
+        mean = sum(bad.values()) / n
+        spread = (sum(len(of[h]) * (bad[h] / len(of[h]) - mean) ** 2 for h in named) - (len(named) - 1) * mean * (1 - mean)) / (n - sum(len(x) ** 2 for x in of.values()) / n)
+        strength = min(10_000, max(1, mean * (1 - mean) / spread - 1)) if spread > 0 else 10_000
+        for h in named:
+            rate[h].append((bad[h] + mean * strength) / (len(of[h]) + strength))
+    names = ["few_words", "repeated_words", "symbols", "equal_lines"]
+    for i, _, h in rows:
+        want = ",".join(x for x, y in zip(names, rate.get(h, [0] * 4), strict=True) if y > 0.5)
+        assert got.host_rules[i] == want and got.kept[i] == (not want and not any(fails[i][:2]))
+        assert math.isnan(got.host_rate[i]) if h is None else got.host_rate[i] == pytest.approx(max(rate[h]))
+    assert len({*got.host_rules}) > 1 and got.kept.any()
+
+
+def test_joins_of_any_skew(spark):
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i % 500}", i) for i in range(1000)] + [(None, 1), ("lacking", 2)]
+    table = [("hot", 3000, "a")] + [(f"k{i}", 2, "b") for i in range(500)]
+    got = common.with_heavy(spark.createDataFrame(rows, "k string, v int"), spark.createDataFrame(table, "k string, n long, x string"), ["k"], "n")
+    assert collections.Counter(r.x for r in got.collect()) == {"a": 3000, "b": 1000, None: 2}
+
+
 def test_bad_hosts_go(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
     rows = [(i, good, "a") for i in range(50)] + [(100 + i, bad if i else good, "b") for i in range(30)] + [(200, bad, "c")]

@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are five words; their weight is tf * idf. Document frequencies are counted over the whole corpus in a table of fixed size,
-addressed by the shingle's hash. `SAMPLES` consistent samples a document make `BANDS` keys; documents that share a key
+Shingles are five words; their weight is tf * idf. Document frequencies are counted over the whole corpus, exactly for all frequent
+shingles. `SAMPLES` consistent samples a document make `BANDS` keys; documents that share a key
 are candidates if their samples agree often enough, and links if their weighted Jaccard similarity is at least 0.8.
 
 No group is ever compared pair by pair at first: each member is compared with one leader (a join, so a group may span
@@ -12,6 +12,7 @@ pair is skipped once both are connected. Connectivity is the same as with all pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, mix, release, slices, staged, texts_of, trimmed, utf8, words
+from .common import column, components, mix, release, slices, staged, texts_of, trimmed, utf8, with_heavy, words
 
 WORDS = 5
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-DAMPED = 0.2  # what a shingle in one document weighs more than one in all
-AGREE = 12  # of 30: at similarity 0.8 the number is binomial with mean 24 and deviation 2.2
+DAMPED = 0.2  # what a rare shingle weighs more than one in all documents: see README for what other values lose
+SHARE = 1 / 200  # shingles in at most this share of the documents count as equally rare
+AGREE = 17  # of 30: at similarity 0.8 the number is binomial with mean 24 and deviation 2.2, below 17 in 0.1 % of pairs
 TABLE = 1 << 18
 BLOCKS = 64
 ROOM = 14  # bits for a text's number in a slice
@@ -77,19 +79,58 @@ def small(texts: pa.Array) -> Iterator[tuple[int, int]]:
             yield c, min(b, c + (1 << ROOM))
 
 
-def idf(docs: DataFrame) -> np.ndarray:
-    """1 + DAMPED * ln((documents + 1) / (document frequency + 1)) / ln(documents + 1) of each place of the table; counted
-    over all documents. Without damping, a text with very many near copies would have its shared shingles weigh so little
-    that a few changed words part the copies."""
-    per = TABLE // BLOCKS
+@dataclass
+class Weights:
+    """The weight of a shingle: 1 + DAMPED * ln(n / max(df, SHARE * n)) / ln(1 / SHARE), n and df being numbers of documents. keys: the shingles in
+    more than SHARE of the documents, with their weights; all others weigh `rare`. maybe: which places keys fall into.
+
+    There are fewer keys than a document has shingles on average, divided by SHARE, whatever the number of documents.
+    """
+
+    maybe: np.ndarray
+    keys: np.ndarray
+    weights: np.ndarray
+    rare: float
+
+    @classmethod
+    def of(cls, n: int, keys: np.ndarray, df: np.ndarray) -> Weights:
+        weigh = lambda x: (1 + DAMPED * np.log(max(1, n) / np.maximum(x, max(1.0, SHARE * n))) / np.log(1 / SHARE)).astype(np.float32)
+        order = np.argsort(keys)
+        maybe = np.zeros(TABLE, bool)
+        maybe[place(keys, 0)] = True
+        return cls(maybe, keys[order], weigh(df[order]), float(weigh(np.ones(1))[0]))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), self.rare, np.float32)
+        at = np.flatnonzero(self.maybe[place(hashes, 0)])
+        if len(at):
+            spot = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+            same = self.keys[spot] == hashes[at]
+            out[at[same]] = self.weights[spot[same]]
+        return out
+
+
+def place(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Where a shingle counts in a table: other bits of its hash for each."""
+    return ((hashes >> np.uint64(18 * table)) & np.uint64(TABLE - 1)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame) -> Weights:
+    """Document frequencies over the whole corpus, exact for every shingle in more than SHARE of the documents.
+
+    First pass: two tables of places count shingles by hash, so a place holds at least what each of its shingles has. Second pass: the shingles
+    both of whose places hold enough are counted one by one, summed by task before the shuffle.
+    """
+    per = 2 * TABLE // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(TABLE, np.int64), 0
+        df, n = np.zeros(2 * TABLE, np.int64), 0
         for batch in batches:
             texts = column(batch, "text")
             for a, b in small(texts):
                 hashes, _, offsets = shingles(texts.slice(a, b - a))
-                df += np.bincount((hashes & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE)
+                for k in (0, 1):
+                    df[k * TABLE : (k + 1) * TABLE] += np.bincount(place(hashes, k), minlength=TABLE)
                 n += int((np.diff(offsets) > 0).sum())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, BLOCKS), pa.int32()), pa.array([np.array([n], "<i8").tobytes(), *(df[i * per : (i + 1) * per].astype("<i8").tobytes() for i in range(BLOCKS))], pa.binary())], ["block", "df"])
@@ -105,10 +146,36 @@ def idf(docs: DataFrame) -> np.ndarray:
     schema = "block int, df binary"
     found = {r["block"]: np.frombuffer(r["df"], "<i8") for r in texts_of(docs).select("text").mapInArrow(trimmed(run), schema).groupBy("block").applyInArrow(add, schema).collect()}
     if -1 not in found:
-        return np.ones(TABLE, np.float32)
-    df = np.concatenate([found[i] for i in range(BLOCKS)])
-    n = max(1, int(found[-1][0]))
-    return (1 + DAMPED * np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 1)).astype(np.float32)
+        return Weights.of(0, np.zeros(0, np.uint64), np.zeros(0))
+    n = int(found[-1][0])
+    enough = np.concatenate([found[i] for i in range(BLOCKS)]) > SHARE * n
+    sent = docs.sparkSession.sparkContext.broadcast(enough)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = sent.value[:TABLE], sent.value[TABLE:]
+        keys, sums, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            each, back, many = np.unique(np.concatenate([keys, *held]), return_inverse=True, return_counts=True)
+            total = np.bincount(back[: len(keys)], sums, len(each)).astype(np.int64)
+            total += many - np.bincount(back[: len(keys)], minlength=len(each))
+            return each, total
+
+        for batch in batches:
+            texts = column(batch, "text")
+            for a, b in small(texts):
+                hashes = shingles(texts.slice(a, b - a))[0]
+                hashes = hashes[first[place(hashes, 0)]]
+                held.append(hashes[second[place(hashes, 1)]])
+                if sum(map(len, held)) > 1 << 20:
+                    keys, sums = merged()
+                    held.clear()
+        keys, sums = merged()
+        for a in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(sums[a : a + 100_000])], ["key", "df"])
+
+    many = texts_of(docs).select("text").mapInArrow(trimmed(count), "key long, df long").groupBy("key").agg(F.sum("df").alias("df")).where(F.col("df") > SHARE * n).toArrow()
+    return Weights.of(n, many.column("key").to_numpy().astype(np.int64).view(np.uint64), many.column("df").to_numpy().astype(np.float64))
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -146,7 +213,7 @@ def sketches(docs: DataFrame, weight: Broadcast) -> DataFrame:
             texts = column(batch, "text")
             for a, b in small(texts):
                 hashes, counts, offsets = shingles(texts.slice(a, b - a))
-                marks = sample(hashes, counts * table[(hashes & np.uint64(TABLE - 1)).astype(np.int64)], offsets)
+                marks = sample(hashes, counts * table(hashes), offsets)
                 has = np.diff(offsets) > 0
                 with np.errstate(over="ignore"):
                     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(marks), 1))
@@ -167,11 +234,11 @@ def marks_of(array: pa.Array) -> np.ndarray:
 class Texts:
     """The shingles and weights of many texts."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray) -> None:
+    def __init__(self, texts: pa.Array, table: Weights) -> None:
         self.rows: list[tuple[np.ndarray, np.ndarray, float]] = []
         for a, b in small(texts):
             hashes, counts, offsets = shingles(texts.slice(a, b - a))
-            w = counts * table[(hashes & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.float64)
+            w = counts * table(hashes).astype(np.float64)
             self.rows += [(hashes[x:y], w[x:y], float(w[x:y].sum())) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
     def similarity(self, i: int, other: Texts, j: int) -> float:
@@ -216,7 +283,7 @@ def links(groups: DataFrame, nodes: DataFrame, table: Broadcast | None, least: f
     """
     # a leader with many members is joined, not grouped: the skewed side is split
     leaders = groups.groupBy("k").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    mates = groups.join(leaders, "k").select("k", "id", "leader", "n")
+    mates = with_heavy(groups, staged(leaders, "leaders"), ["k"], "n").where("leader is not null").select("k", "id", "leader", "n")
     pairs = mates.where("id <> leader").select("id", "leader").distinct()
     first = nodes.select(F.col("id").alias("leader"), F.col("sketch").alias("sketch2"), F.col("text").alias("text2"))
     compared = pairs.join(nodes, "id").join(first, "leader").select("id", "leader", "sketch", "sketch2", "text", "text2")
@@ -267,22 +334,23 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     anything, and rows with a null doc_id are kept with a null class. Ties go to the least id; an empty table gives no
     rows; other columns are not read.
     """
-    table = docs.sparkSession.sparkContext.broadcast(idf(docs))
+    table = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
     seen = staged(sketches(docs, table), "sketches")
     known = seen.where("id is not null and sketch is not null")
-    same = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    nodes = staged(known.join(same, ["h1", "h2"]).where("id = rep").select("id", "sketch", "keys").dropDuplicates(["id"]), "nodes")
+    # equal texts have equal sketches: what stands for them is aggregated before the shuffle, and no copy is joined to find it
+    same = staged(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "same")
+    nodes = staged(same.select(F.col("rep").alias("id"), "sketch", "keys").dropDuplicates(["id"]), "nodes")
     buckets = nodes.select(F.explode("keys").alias("k"), "id")
     bare = nodes.select("id", "sketch", F.lit(None).cast("string").alias("text"))
     near = staged(components(links(buckets, bare, None, least, 4096)), "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(near.select("id"), "id", "left_semi").dropDuplicates(["id"])
     full = staged(nodes.select("id", "sketch").join(texts, "id"), "texts")
     groups = near.select(F.col("component").alias("k"), "id")
-    final = components(links(groups, full, table, least, 1024))
-    joined = seen.select("id", "h1", "h2", "sketch").join(same, ["h1", "h2"], "left")
-    rep = F.when(F.col("sketch").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("rep", "id"))
-    named = joined.select("id", rep.alias("rep")).join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = named.select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"))
+    final = components(links(groups, full, table, least, 512))
+    classed = same.select("h1", "h2", "rep", "n").join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    ids = staged(classed.select("h1", "h2", "n", F.coalesce("component", "rep").alias("class_id")), "named")
+    own = seen.select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull() & F.col("sketch").isNotNull(), F.col("h1")).alias("h1"), "h2")
+    out = with_heavy(own, ids, ["h1", "h2"], "n").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
@@ -301,4 +369,4 @@ def keep_first(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return kept.select(docs.columns)
 
 
-__all__ = ["classes", "idf", "keep_first", "links", "release", "sample", "shingles", "sketches"]
+__all__ = ["classes", "frequencies", "keep_first", "links", "release", "sample", "shingles", "sketches"]
