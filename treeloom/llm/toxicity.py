@@ -174,7 +174,7 @@ def spelt(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bounds: np
     return owner[one[first[keep]]], chars[starts[one]], first[keep], many[keep]
 
 
-def apart(ranked: list[str], many: int, near: float = 0.75) -> list[str]:
+def apart(ranked: list[str], many: int, near: float = 0.5) -> list[str]:
     """The first words of the ranking that are no closer than `near` to one before."""
     chosen: list[str] = []
     for a in range(0, len(ranked), 500):
