@@ -2,8 +2,8 @@
 
 Equal vectors are one node. Nodes are dealt to shards by hash; each shard builds a hierarchical graph by inserting batches of nodes
 and linking them to diverse near ones. Every node is then searched in every shard, many queries in step. A beam that is full
-of links is widened until it ends below the threshold; besides, sampled queries are compared with brute force in each
-pair of shards and the beam doubles until their recall passes. Cosines are checked in double precision. A pair of shards
+of links is widened until it ends below the threshold; besides, sampled queries and planted ones, which have links for certain, are compared with brute force in each
+pair of shards; the beam doubles until the mean recall of their links passes, and where no beam passes all are compared. Cosines are checked in double precision. A pair of shards
 returns link counts and a forest of links, never all pairs.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, components, mix, staged, trimmed
+from .common import column, components, mix, staged, trimmed, width, with_heavy
 
 LINKS = 16  # per node and layer; twice as many may point back
 LEVEL = 16  # one node in so many stands a layer higher
@@ -29,6 +29,7 @@ class Graph:
 
     def __init__(self, unit: np.ndarray, breadth: int = 48) -> None:
         self.unit, self.breadth = unit, breadth
+        self.stamp, self.turn = np.zeros((0, 0), np.uint16), 0
         n = len(unit)
         draw = mix(np.arange(1, n + 1, dtype=np.uint64)).astype(np.float64) / 2.0**64
         self.level = np.minimum((-np.log(np.maximum(draw, 1e-18)) / np.log(LEVEL)).astype(np.int64), 6)
@@ -100,16 +101,26 @@ class Graph:
             top = np.argsort(-worth, axis=1, kind="stable")[:, : 4 * LINKS]
             table[own] = np.pad(kept := self.pick(np.take_along_axis(joined, top, 1), np.take_along_axis(worth, top, 1), 2 * LINKS), ((0, 0), (0, 2 * LINKS - kept.shape[1])), constant_values=-1)
 
+    def visits(self, n: int) -> tuple[np.ndarray, int]:
+        """A table of queries and nodes, and the number that marks a visit in this search; older numbers are older searches, so
+        nothing is cleared until the numbers run out."""
+        if len(self.stamp) < n:
+            self.stamp, self.turn = np.zeros((max(n, STEP), len(self.unit)), np.uint16), 0
+        elif self.turn == 0xFFFF:
+            self.stamp[:], self.turn = 0, 0
+        self.turn += 1
+        return self.stamp, self.turn
+
     def search_layer(self, query: np.ndarray, start: np.ndarray, layer: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries in step: (ids, similarities), best first, -1 where there are fewer."""
         n, table = len(query), self.near[layer]
-        seen = np.zeros((n, len(self.unit)), bool)
+        seen, turn = self.visits(n)
         rows = np.arange(n)
         ids = np.full((n, wide), -1)
         sims = np.full((n, wide), -2, np.float32)
         ids[:, 0] = start[:, 0]
         sims[:, 0] = np.einsum("nd,nd->n", query, self.unit[start[:, 0]])
-        seen[rows, start[:, 0]] = True
+        seen[rows, start[:, 0]] = turn
         fresh = ids >= 0
         while True:
             live = np.flatnonzero(fresh.any(axis=1))
@@ -124,9 +135,9 @@ class Graph:
             if each > 1:
                 new.sort(axis=1)
                 new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-            new[seen[live[:, None], np.maximum(new, 0)]] = -1
+            new[seen[live[:, None], np.maximum(new, 0)] == turn] = -1
             r, c = np.nonzero(new >= 0)
-            seen[live[r], new[r, c]] = True
+            seen[live[r], new[r, c]] = turn
             worth = np.full(new.shape, -2, np.float32)
             worth[r, c] = np.einsum("nd,nd->n", query[live[r]], self.unit[new[r, c]])
             both, value = np.hstack([ids[live], new]), np.hstack([sims[live], worth])
@@ -181,6 +192,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph | None
     if layers:
         graph = Graph.__new__(Graph)
         graph.unit, graph.entry, graph.breadth = unit.astype(np.float32), entry, 48
+        graph.stamp, graph.turn = np.zeros((0, 0), np.uint16), 0
         graph.near = [np.frombuffer(raw, "<i4", n * 2 * LINKS, at + k * n * 8 * LINKS).reshape(n, 2 * LINKS) for k in range(layers)]
     return ids, weights, unit, graph
 
@@ -203,21 +215,45 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def search_pair(left: bytes, right: bytes, least: float, wide: int, audited: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """(ids, link weights, forest ends, beam) of the nodes on the left searched on the right."""
+def planted(unit: np.ndarray, least: float, many: int) -> np.ndarray:
+    """Perturbed copies of nodes, half-way between the threshold and the node: queries that have a link for certain."""
+    own = unit[np.argsort(mix(np.arange(1, len(unit) + 1, dtype=np.uint64)))[:many]]
+    noise = mix(np.arange(1, own.size + 1, dtype=np.uint64)).astype(np.float64).reshape(own.shape) / 2.0**63 - 1
+    noise -= own * np.einsum("nd,nd->n", noise, own)[:, None]
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    cos = (1 + least) / 2
+    return (cos * own + np.sqrt(1 - cos * cos) * noise).astype(np.float32)
+
+
+def audited_beam(graph: Graph, query: np.ndarray, own: np.ndarray, other: np.ndarray, loose: float, wide: int, recall: float) -> tuple[int, int, int]:
+    """(beam, true links, found ones): the beam, doubled until the mean recall of the queries that have links passes; 0 if no beam does,
+    so that only comparing all is good enough. own, other: ids of queries (-1: planted) and nodes; a query's link to itself does not count."""
+    true = (query @ graph.unit.T >= loose) & (own[:, None] != other[None])
+    each = true.sum(axis=1)
+    if not each.any():
+        return wide, 0, 0
+    while True:
+        found = np.array([true[i, x].sum() for i, x in enumerate(graph.above(query, loose, wide))])
+        if (found[each > 0] / each[each > 0]).mean() >= recall:
+            return wide, int(each.sum()), int(found.sum())
+        if wide >= len(other):
+            return 0, int(each.sum()), int(each.sum())
+        wide *= 2
+
+
+def search_shard(left: bytes, right: tuple, least: float, wide: int, audited: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(ids, link weights, forest ends, audited links, those found) of the nodes on the left searched in the graph on the right."""
     ids, _, unit, _ = unpack(left)
-    other, weights, theirs, graph = unpack(right)
+    other, weights, theirs, graph = right
     query, loose = unit.astype(np.float32), least - 1e-4
     check = np.argsort(mix(ids.view(np.uint64)))[:audited]
-    true = query[check] @ graph.unit.T >= loose
-    while len(check) and wide < len(other):
-        got = sum(len(x) for x in graph.above(query[check], loose, wide))
-        if got >= recall * true.sum():
-            break
-        wide *= 2
+    probes = planted(theirs, least, audited)
+    wide, truth, got = audited_beam(graph, np.vstack([query[check], probes]), np.append(ids[check], np.full(len(probes), -1)), other, loose, wide, recall)
     degree, ends = np.zeros(len(ids), np.int64), [(np.zeros(0, np.int64),) * 2]
-    for a in range(0, len(ids), 4096):
-        found = graph.above(query[a : a + 4096], loose, wide)
+    step = 4096 if wide else 256
+    for a in range(0, len(ids), step):
+        part = query[a : a + step]
+        found = graph.above(part, loose, wide) if wide else [np.flatnonzero(x) for x in part @ graph.unit.T >= loose]
         q = np.repeat(np.arange(a, a + len(found)), [len(x) for x in found])
         t = np.concatenate(found) if found else np.zeros(0, np.int64)
         for i in range(0, len(q), 100_000):
@@ -227,15 +263,17 @@ def search_pair(left: bytes, right: bytes, least: float, wide: int, audited: int
             np.add.at(degree, x, weights[y])
             ends.append(forest(ids[x], other[y]))
     a, b = forest(*(np.concatenate([e[i] for e in ends]) for i in (0, 1)))
-    return ids, degree, a, b, wide
+    return ids, degree, a, b, truth, got
 
 
-def link(vectors: DataFrame, least: float = 0.9, shards: int = 4, most_rows: int = 50_000, wide: int = 48, audited: int = 64, recall: float = 0.99) -> DataFrame:
+def link(vectors: DataFrame, least: float = 0.9, shards: int = 4, most_rows: int = 50_000, most_bytes: int = 1 << 26, wide: int = 48, audited: int = 64, recall: float = 0.99) -> DataFrame:
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
+    A shard holds at most about `most_rows` vectors and `most_bytes` of them. Each shard's graph is sent to a few tasks, and past it stream all shards' vectors.
     Equal vectors are linked without a search. Null or zero vectors and those with null or non-finite components have no
     links and are their own component; vectors of different lengths never link; repeated rows are vectors of their own with
     one id; rows without an id have no links and a null component; an empty table gives no rows; labels are not read.
+    The audits of the result are its `_audits`: by pair of shards the links that sampled and planted queries have, and those found.
     """
     spark = vectors.sparkSession
     single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
@@ -244,12 +282,10 @@ def link(vectors: DataFrame, least: float = 0.9, shards: int = 4, most_rows: int
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     hashed = own.select("vec_id", good.alias("good"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), F.reverse("v")).alias("h2"), "v")
-    same = staged(hashed.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "classes")
-    nodes = same.agg(F.count("*")).first()[0]
-    count = max(shards, -(-nodes // most_rows))
-    # a class's vector comes with the row of its least id; further rows with that id are equal or of another class
-    ready = hashed.where("good").join(same, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["h1", "h2"])
-    dealt = ready.select("rep", "w", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep", "h1"), F.lit(count)).cast("int").alias("shard"))
+    same = staged(hashed.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v")), "classes")
+    about = same.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
+    count = max(shards, -(-about["n"] // max(1, min(most_rows, most_bytes // (size * about["dim"])))))
+    dealt = same.select("rep", "w", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("rep", "h1"), F.lit(count)).cast("int").alias("shard"))
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by("rep")
@@ -260,21 +296,36 @@ def link(vectors: DataFrame, least: float = 0.9, shards: int = 4, most_rows: int
         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([pack(ids, weights, raw, None)], pa.binary()), pa.array([pack(ids, weights, raw, graph)], pa.binary())], ["dim", "shard", "queries", "graph"])
 
     graphs = staged(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, queries binary, graph binary"), "graphs")
-    asked = graphs.select("dim", F.col("shard").alias("source"), "queries", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"))
-    pairs = asked.join(graphs.select("dim", "shard", "graph"), ["dim", "shard"]).repartition(count * count, "source", "shard")
+    lanes = max(1, min(count, -(-width(spark) // count)))  # tasks that share a graph
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    built = graphs.select("dim", F.col("shard").alias("at"), each(lanes).alias("lane"), F.lit(-1).alias("source"), F.col("graph").alias("raw"))
+    asked = graphs.select("dim", each(count).alias("at"), F.pmod("shard", F.lit(lanes)).cast("int").alias("lane"), F.col("shard").alias("source"), F.col("queries").alias("raw"))
+    # in each partition a graph comes before the vectors that are searched in it
+    pairs = built.unionByName(asked).repartition(count * lanes, "dim", "at", "lane").sortWithinPartitions("dim", "at", "lane", "source")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, of = None, None
         for batch in batches:
             for i in range(len(batch)):
-                ids, degree, a, b, _ = search_pair(column(batch, "queries")[i].as_py(), column(batch, "graph")[i].as_py(), least, wide, audited, recall)
-                null = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(degree)], ["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), null], ["a", "b", "n"])
-
-    found = staged(pairs.select("queries", "graph").mapInArrow(trimmed(search), "a long, b long, n long"), "links")
+                where, raw = tuple(column(batch, c)[i].as_py() for c in ("dim", "at", "lane")), column(batch, "raw")[i].as_py()
+                if column(batch, "source")[i].as_py() < 0:
+                    graph, of = unpack(raw), where
+                elif of == where:
+                    ids, degree, a, b, truth, got = search_shard(raw, graph, least, wide, audited, recall)
+                    none = lambda n: pa.nulls(n, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), none(len(ids)), pa.array(degree)], ["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none(len(a))], ["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([none(1), pa.array([truth], pa.int64()), pa.array([got], pa.int64())], ["a", "b", "n"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    found = staged(pairs.mapInArrow(trimmed(search), "a long, b long, n long"), "links")
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("b is not null"))
-    classes = same.join(degrees, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = hashed.select("vec_id", "good", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    joined = components(found.where("n is null"))
+    linked = same.select("h1", "h2", "rep", "w").join(degrees, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = staged(linked.select("h1", "h2", "w", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "rep").alias("c")), "named")
+    keyed = hashed.select("vec_id", "good", F.when(F.col("good"), F.col("h1")).alias("h1"), "h2")
+    out = with_heavy(keyed, classes, ["h1", "h2"], "w")
     component = F.when(F.col("good"), F.col("c")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("good"), F.col("n")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.when(F.col("good"), F.col("n")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out._audits = found.where("a is null").select(F.col("b").alias("links"), F.col("n").alias("found"))
+    return out
