@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,13 +94,14 @@ def parsers(samples: dict[str, str]) -> tuple[list[str], np.ndarray, int, list[n
     return names, symbol, size, tables, np.array(logs)
 
 
-def classify(texts: list[str], parser: tuple) -> tuple[list[str], np.ndarray]:
-    """The language of each text and how far the runner-up is behind: 0 (und), else from 0.5 (a tie) to 1."""
+def classify(texts: list[str], parser: tuple) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language of each text, how far the runner-up is behind (0: und, else from 0.5, a tie, to 1), and the phrases a symbol that the
+    language needs, times the logarithm of its sample's length: bits a symbol."""
     names, symbol, _, tables, logs = parser
     codes, offsets = code_points(texts)
     out, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not len(codes) or not names:
-        return out, scores
+        return out, scores, scores
     has = np.add.reduceat(np.append(letters()[codes], False), offsets[:-1]) > 0 if len(codes) else np.zeros(len(texts), bool)
     has &= np.diff(offsets) > 0
     got = symbol[codes]
@@ -137,7 +139,7 @@ def classify(texts: list[str], parser: tuple) -> tuple[list[str], np.ndarray]:
         share = np.ones(len(texts))
     for i in np.flatnonzero(has).tolist():
         out[i], scores[i] = names[best[i]], share[i]
-    return out, scores
+    return out, scores, least
 
 
 def samples(docs: DataFrame, chars: int = 16_000, per_doc: int = 4_000, docs_each: int = 32) -> dict[str, str]:
@@ -174,25 +176,36 @@ def predict(docs: DataFrame, model: dict[str, str]) -> DataFrame:
         for batch in batches:
             ids, held, texts = column(batch, "doc_id"), column(batch, "held_out"), column(batch, "text")
             for a, b in slices(texts):
-                lang, score = classify([t or "" for t in texts.slice(a, b - a).to_pylist()], parser)
+                lang, score, _ = classify([t or "" for t in texts.slice(a, b - a).to_pylist()], parser)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), held.slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return texts_of(docs).select(docs["doc_id"].cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: dict[str, str]) -> DataFrame:
-    """The rows of docs whose text has a language (any but `und`), all columns as they are. Where no language was learned,
-    any text with a letter counts as having one."""
+def keep_known(docs: DataFrame, model: dict[str, str], most: float = 1.25, symbols: int = 200) -> DataFrame:
+    """The rows of docs whose text is in a learned language; a null `lang` becomes the language found, all other columns stay.
+
+    A text goes if it is null or has no letter, or if it has at least `symbols` characters and even its best language needs more than `most` times
+    the bits that naming each of them by itself would take: then it is in no language learned. Shorter ones are too short to tell.
+    Where no language was learned, any text with a letter stays. Repeated rows fare alike; an empty table gives no rows.
+    """
     if not model:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(sent)
+        single = math.log2(parser[2])  # bits of one symbol of the alphabet
         for batch in batches:
             texts = column(batch, "text")
             for a, b in slices(texts):
-                lang, _ = classify([t or "" for t in texts.slice(a, b - a).to_pylist()], parser)
-                yield batch.slice(a, b - a).filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+                part = batch.slice(a, b - a)
+                own = [t or "" for t in texts.slice(a, b - a).to_pylist()]
+                lang, _, bits = classify(own, parser)
+                stays = np.array([x != UNKNOWN for x in lang], bool) & ((bits <= most * single) | (np.array([len(t) for t in own]) < symbols))
+                if "lang" in part.schema.names and pa.types.is_string(column(part, "lang").type):
+                    at = part.schema.get_field_index("lang")
+                    part = part.set_column(at, part.schema.field(at), pc.coalesce(part.column(at), pa.array(lang, pa.string())))
+                yield part.filter(pa.array(stays, pa.bool_()))
 
     return texts_of(docs).mapInArrow(trimmed(run), docs.schema)
