@@ -24,6 +24,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+GUARDED = 20_000  # of each call one text of at most so many characters is encoded by the library, too
+
+
 class FastTokens:
     """Whole-text ids equal to Tokenizer.encode(text, add_special_tokens=False).ids, as little-endian uint32 bytes.
 
@@ -83,6 +86,9 @@ class FastTokens:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = [self._quick(t) if self.engine else None for t in texts]
+        guard = next((i for i in range(len(texts) // 2, len(texts)) if out[i] is not None and len(texts[i]) <= GUARDED), None)
+        if guard is not None and self._encode([texts[guard]])[0] != out[guard]:
+            raise ValueError(f"ids of a text of {len(texts[guard])} characters differ from the library's")
         left = [i for i, x in enumerate(out) if x is None]
         rows = [[texts[i]] if any(s in texts[i] for s in self.special) else LONE_SPACE.split(texts[i]) for i in left]
         tails = [r[1:] for r in rows]

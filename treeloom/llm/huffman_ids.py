@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, shared_dir, slices, texts_of, staged, trimmed, width
+from .common import column, gone_at_exit, shared_dir, slices, texts_of, staged, trimmed, width
 from .fast_tokens import fast_tokens
 
 MAGIC = b"TLH1"
@@ -174,9 +174,10 @@ def histogram(ids: DataFrame, size: int) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> str:
-    """Write the ids of whole texts in ascending doc_id order (null first, equal ids by their bytes); the path of the files."""
+    """Write the ids of whole texts in ascending doc_id order (null first, equal ids by their bytes); the path of the files.
+    Files without a path of their own go with the session."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/treeloom-ids-{uuid.uuid4().hex}"
+    path = path or gone_at_exit(spark, f"{shared_dir(spark)}/treeloom-ids-{uuid.uuid4().hex}")
     ids = staged(tokenized(docs, tokenizer, end_id), "ids")
     from tokenizers import Tokenizer
 

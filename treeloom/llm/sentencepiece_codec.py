@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from .common import ChunkTable, column, resident, slices, texts_of, trimmed
 
 MARK = "▁"
+GUARDED = 20_000  # of each batch one whole text of at most so many characters is encoded and decoded by the library, too
 LONE_MARK = re.compile(f"(?<=[^ {MARK}]) (?=[^ {MARK}])")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -71,10 +72,13 @@ class Codec:
         """(ids with the end id, sha256 of the ids, sha256 of the decoded text) of each text."""
         rows, end = [self.parts(t) for t in texts], str(self.model.eos_id())
         known = self.table.add(rows)
-        for row in rows:
+        guard = next((i for i in range(len(texts) // 2, len(texts)) if len(texts[i]) <= GUARDED), None)
+        for i, row in enumerate(rows):
             found = [known[p] for p in row]
             ids = " ".join([x[0] for x in found if x[1]] + [end])
             text = " ".join([x[2] for x in found])
+            if i == guard and (ids.split() != [*map(str, self.model.encode(texts[i])), end] or text != self.model.decode(list(map(int, ids.split())))):
+                raise ValueError(f"pieces of a text of {len(texts[i])} characters differ from the library's")
             yield sum([x[1] for x in found]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
