@@ -88,6 +88,20 @@ def test_fast_tokens_equal_the_library():
             assert own.ids(some) == want
 
 
+def test_guards_see_other_ids(monkeypatch):
+    """A text whose quick ids or joined pieces differ from the library's stops the task."""
+    own = fast_tokens.FastTokens(BYTE, True)
+    own.to_id = own.to_id + np.uint32(1)
+    with pytest.raises(ValueError, match="differ from the library"):
+        own.ids(["plain text"])
+    pieces = sentencepiece_codec.codec(PIECE)
+    monkeypatch.setattr(pieces.table, "known", {"plain": ("5", 1, "plain"), "text": ("6", 1, "text")})
+    with pytest.raises(ValueError, match="differ from the library"):
+        list(pieces.digests(["plain text"]))
+    monkeypatch.undo()
+    pieces.table.known.clear()
+
+
 def test_pack(docs, texts):
     got = best_fit_packing.pack(docs, BYTE).toPandas().sort_values(["sequence_id", "offset"])
     by = got.groupby("sequence_id")
@@ -140,7 +154,10 @@ def test_links(spark):
     near = base[rng.integers(0, 40, 500)] + rng.normal(size=(500, 16)) * 0.15
     all_ = np.vstack([base, near, base[:1].repeat(200, 0)]).astype(np.float32)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(all_)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [1.0, None] * 8), (5004, [1.0, 2.0]), (None, [1.0] * 16), (5005, [])]
-    got = vector_links.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    linked = vector_links.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit(1)).withColumn("n", F.lit(2)))
+    got, audits = linked.toPandas(), linked._audits.toPandas()
+    assert audits["links"].sum() > 1000 and audits["found"].sum() >= 0.98 * audits["links"].sum()
+    assert vector_links.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     own = got.dropna(subset=["vec_id"]).set_index("vec_id")
     unit = all_.astype(float) / np.linalg.norm(all_.astype(float), axis=1, keepdims=True)
     true = unit @ unit.T >= 0.9
@@ -154,6 +171,26 @@ def test_links(spark):
     assert (own.loc[[5000, 5001, 5002, 5003, 5004, 5005], "n_links"] == 0).all() and (own.loc[[5000, 5004], "kept"]).all() and len(got) == len(rows)
 
 
+def test_an_audit_that_no_beam_passes_ends_in_comparing_all():
+    """A graph whose links lead nowhere: the audit sees it, and the exact search loses no link."""
+    rng = np.random.default_rng(43)
+    base = rng.normal(size=(40, 8))
+    vectors = np.vstack([base, base + rng.normal(size=base.shape) * 0.02]).astype(np.float32)
+    unit, ids = vector_links.unit_of(vectors), np.arange(80)
+    graph = vector_links.Graph(unit.astype(np.float32))
+    for table in graph.near:
+        table[:] = -1
+    packed = vector_links.pack(ids, np.ones(80, np.int64), vectors, None)
+    own, degree, a, b, links, found = vector_links.search_shard(packed, (ids, np.ones(80, np.int64), unit, graph), 0.9, 8, 16, 0.99)
+    true = unit @ unit.T >= 0.9
+    label = np.arange(80)
+    for _ in range(80):
+        label = np.minimum(label, np.where(true, label[None], 80).min(1))
+    assert (degree == true.sum(1) - 1).all() and links == found > 0 and len(a) == 80 - len({*label.tolist()})
+    probes = vector_links.planted(unit, 0.9, 16)
+    assert len(probes) == 16 and ((probes @ unit.T.astype(np.float32)).max(1) >= 0.9).all()
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(50)] + [(400, 401 + i) for i in range(50)]
@@ -198,6 +235,49 @@ def test_language_stage_without_a_language(odd):
     assert sorted(got["text"]) == sorted(t for _, t in ROWS if t and any(c.isalpha() for c in t)) and list(got.columns) == bare.columns
 
 
+def test_language_stage_acts_on_the_parse(docs):
+    """A long text in a script or of letter pairs that no learned language has goes; what is in a learned one stays, and a null lang is filled."""
+    spark = docs.sparkSession
+    model = language_id.samples(docs)
+    r = random.Random(41)
+    strange = ["漢字仮名交じり文" * 40, "".join(r.choice("xqzjvkwž ") for _ in range(600))]
+    rows = [(9001, strange[0], "en"), (9002, strange[1], None), (9003, strange[1][:40], None)]
+    both = docs.select("doc_id", "text", "lang").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {x.doc_id: x.lang for x in language_id.keep_known(both, model).collect()}
+    true = {x.doc_id: x.lang for x in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").collect()}
+    assert got.keys() == true.keys() | {9003} and sum(got[k] == v for k, v in true.items()) >= 0.97 * len(true)
+
+
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, equal rows, and further columns with names that the operators use."""
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(i, t, "en" if k % 2 else None, None, len(t or "")) for k, (i, t) in enumerate(ROWS)], STAGE_COLUMNS)
+    odd = odd.select("*", *(F.lit(i).alias(c) for i, c in enumerate(("host", "id", "held_out", "task", "h1", "k", "score", "toxic", "length", "rep"))))
+    spark.createDataFrame([(4, 0, 0), (6, 0, 1), (8, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    lettered = sorted(((i, t) for i, t in ROWS if t and any(c.isalpha() for c in t)), key=str)
+    want = {
+        "language_id": lettered, "secret_scan": sorted(ROWS, key=str), "toxicity": None,
+        # null ids stay, of equal texts and rows the least id
+        "minhash_near_dedup": sorted([(None, ROWS[0][1]), (1, None), (2, ""), (3, ROWS[3][1]), (4, ROWS[4][1]), (5, LONG), (6, ROWS[6][1]), (8, "a"), (9, ROWS[10][1])], key=str),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, str(tmp_path)), stage(spark, odd.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name == "best_fit_packing":
+            assert out.where("piece = 0").count() == len(ROWS)
+            continue
+        assert out.columns == odd.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        if want[name] is not None:
+            assert got == want[name], name
+        else:
+            assert {*got} <= {*ROWS} and (2, "") in got and (1, None) in got
+
+
 def test_pieces(docs, texts):
     import sentencepiece
 
@@ -582,6 +662,14 @@ def test_pipeline(spark, tmp_path):
     assert not any(plain_spans(r.text) for r in docs.collect())
 
 
+def test_scratch_tables_go(spark):
+    with common.scratch() as tables:
+        gone, kept = common.staged(spark.range(3).toDF("x"), "a"), common.staged(spark.range(2).toDF("x"), "b")
+        tables.remove(kept)
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._staged_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(df._staged_path))
+    assert not there(gone) and there(kept) and kept.count() == 2
+
+
 def test_staging_reads_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = common.staged(spark.range(3).toDF("x"), "t")

@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which will be deleted with the session."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, files go with the session."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeloom-{label}-{uuid.uuid4().hex}"
+    path = gone_at_exit(spark, f"{shared_dir(spark)}/treeloom-{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for tables in _OPEN:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables staged inside; what is still in the list at the end is deleted."""
+    tables: list[DataFrame] = []
+    _OPEN.append(tables)
+    try:
+        yield tables
+    finally:
+        _OPEN.remove(tables)
+        release(*tables)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:
@@ -220,6 +243,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     Edges (long, long) may repeat, point either way or loop. Each round is staged in the shared folder. Per node only a
     minimum is aggregated (combined before the shuffle) and joined back, so a node with very many edges is no group.
+    The rounds grow with the logarithm of a component's length; beyond `most` of them, which no graph of fewer than 2^30 nodes needs, it raises.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()

@@ -380,8 +380,10 @@ def train(rows: list[tuple[str, int]], landmarks: int = 240, negatives: int = 6_
     part = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % parts for t, _ in rows])
     bags = Bags.of(rows)
     del rows
+    if not bags.names:
+        return None
     trainer = Trainer(bags, cost)
-    found = trainer.machine(np.ones(len(part), bool), landmarks, negatives, rounds) if len(bags.names) else None
+    found = trainer.machine(np.ones(len(part), bool), landmarks, negatives, rounds)
     if found is None:
         return None
     machine, firm = found
