@@ -1,4 +1,9 @@
-"""The training-data pipeline: each stage reads what the one before wrote."""
+"""The training-data pipeline: each stage reads what the one before wrote.
+
+Every stage but the last returns the columns of its documents, whatever they are. Null ids stay: language ID and toxicity judge texts alone, near-dedup
+compares no row without an id. A null text goes in the first stage; in the others it is a text without a word, which is clean, a copy of
+nothing and holds no secret. Equal rows fare alike until near-dedup, which keeps one of them. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm import best_fit_packing, language_id, secret_scan, toxicity, weighted_dedup
-from treeloom.llm.common import staged
+from treeloom.llm.common import scratch, staged
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents in a learned language; null texts, texts without a letter and long ones that parse no better than strange letters go. A null lang is filled in."""
     return language_id.keep_known(docs, language_id.samples(docs))
 
 
@@ -41,6 +46,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch() as tables:  # a stage's own tables go with it, and so does its input
+            docs = staged(stage(spark, docs, sf_dir), name)
+            tables.remove(docs)
+            tables.extend([before] if before is not None else [])
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
