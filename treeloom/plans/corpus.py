@@ -20,7 +20,7 @@ class Corpus:
     """The tables of one snapshot, as DataFrames by name."""
 
     def __init__(self, tables: dict[str, DataFrame]) -> None:
-        self.tables = tables
+        self.tables, self.known = tables, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -42,7 +42,7 @@ class Corpus:
         table["routes"] = routes.groupBy("path", "route").agg(F.max_by("handler", "pos").alias("handler"))
         table["side_effects"] = known.select("path", F.explode(S.side_effects(F.col("code"), settings.side_effects)).alias("label"))
         table["findings"] = known.select("path", F.explode(S.findings(F.col("code"))).alias("label"))
-        table["deps"] = graph.resolve(table["raw_imports"], table["files"])
+        table["deps"] = graph.resolve(table["raw_imports"], table["files"]).persist()  # most questions need the edges
         return cls(table)
 
     @classmethod
@@ -72,7 +72,12 @@ class Corpus:
         return graph.dependents(self.deps)
 
     def tests(self, condition=None) -> DataFrame:
-        return graph.tests_for(self.files, self.deps, condition)
+        """(path, test) of the files that meet a condition on path; of all files it is worked out once."""
+        if condition is not None:
+            return graph.tests_for(self.files, self.deps, condition)
+        if "tests" not in self.known:
+            self.known["tests"] = graph.tests_for(self.files, self.deps).persist()
+        return self.known["tests"]
 
     def facts(self) -> DataFrame:
         """path, role, dependents, symbols, lines, raw_tokens of every file."""
