@@ -459,6 +459,26 @@ def test_code(limit):
         assert (huffman_ids.decode(payload, huffman_ids.decoding_table(lengths, codes, limit), limit) == ids).all()
 
 
+def test_code_lengths_are_optimal():
+    """Against all length vectors of small alphabets, and against Huffman's cost where the limit does not bind."""
+    import heapq
+
+    r = random.Random(47)
+    for _ in range(40):
+        n, limit = r.randint(2, 6), r.randint(3, 4)
+        counts = np.array([r.choice([1, 2, 3, 10, 100, 1000]) for _ in range(n)])
+        best = min(sum(c * x for c, x in zip(counts.tolist(), ls, strict=True)) for ls in itertools.product(range(1, limit + 1), repeat=n) if sum(2.0**-x for x in ls) <= 1)
+        assert int((counts * huffman_ids.code_lengths(counts, limit)).sum()) == best
+    counts = np.array([r.randrange(1, 1000) for _ in range(300)])
+    heap, cost = counts.tolist(), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        both = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += both
+        heapq.heappush(heap, both)
+    assert int((counts * huffman_ids.code_lengths(counts, 40)).sum()) == cost
+
+
 def shingle_bag(text):
     w = text.split()
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or (collections.Counter([tuple(w)]) if w else collections.Counter())

@@ -8,7 +8,6 @@ the lengths alone. A block is decoded from its bit offset without any other bloc
 
 from __future__ import annotations
 
-import heapq
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,43 +29,32 @@ SEGMENTS = "part int, segment long, inside long, docs array<long>, sizes array<l
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Code lengths of at most `limit` bits: Huffman's, cut to the limit, with the Kraft sum repaired from the rarest ids on."""
+    """The code lengths of at most `limit` bits that take the fewest bits in all, by package-merge; 0 for what never occurs.
+
+    From the deepest level up, the symbols, sorted by count, are merged with pairs of what the level below holds. Of the top level the first
+    2 n - 2 items are taken; each symbol among them gains a bit, each pair takes its two items from the level below.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if not len(used):
-        return lengths
-    if len(used) == 1:
+    n = len(used)
+    if n < 2:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids need more than {limit} bits")
-    heap = [(int(counts[i]), k) for k, i in enumerate(used)]
-    heapq.heapify(heap)
-    parent, n = {}, len(used)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[1]] = parent[b[1]] = n
-        heapq.heappush(heap, (a[0] + b[0], n))
-        n += 1
-    depth = np.zeros(n, np.int64)
-    for k in range(n - 2, -1, -1):
-        depth[k] = depth[parent[k]] + 1
-    own = np.minimum(depth[: len(used)], limit)
-    order = np.argsort(counts[used], kind="stable")  # rarest first
-    spare = (1 << limit) - int(np.sum(1 << (limit - own)))
-    while spare < 0:  # lengthen the longest codes below the limit, rarest first
-        deepest = own[own < limit].max()
-        for k in order:
-            if own[k] == deepest:
-                own[k] += 1
-                spare += 1 << (limit - int(own[k]))
-                if spare >= 0:
-                    break
-    for k in order[::-1]:  # give back what is over, most frequent first
-        while own[k] > 1 and (gain := 1 << (limit - int(own[k]))) <= spare:
-            own[k] -= 1
-            spare -= gain
-    lengths[used] = own
+    if n > 1 << limit:
+        raise ValueError(f"{n} ids need more than {limit} bits")
+    order = used[np.argsort(counts[used], kind="stable")]
+    leaves = counts[order].astype(np.float64)
+    pairs, leaf = np.zeros(0), []
+    for _ in range(limit):
+        items = np.concatenate([leaves, pairs])
+        at = np.argsort(items, kind="stable")
+        leaf.append(at < n)
+        pairs = items[at][: len(at) // 2 * 2].reshape(-1, 2).sum(axis=1)
+    take = 2 * n - 2
+    for level in reversed(leaf):
+        own = int(level[:take].sum())
+        lengths[order[:own]] += 1
+        take = 2 * (take - own)
     return lengths
 
 
