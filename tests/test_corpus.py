@@ -355,6 +355,20 @@ def test_blame_show_and_status(spark, root, corpus):
     assert git.commit_files(spark, root, most=1).count() == 7 and spark.read.format("git_log").option("commitsPerPartition", "1").load(root).count() == 7
 
 
+def test_changed_paths_that_are_gone(spark, tmp_path):
+    for args in (["init", "-q"], ["config", "user.email", "a@b.com"], ["config", "user.name", "A"]):
+        subprocess.run(["git", *args], cwd=tmp_path, check=True)
+    for name in ("a.py", "b.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    for args in (["add", "."], ["commit", "-qm", "one"]):
+        subprocess.run(["git", *args], cwd=tmp_path, check=True)
+    (tmp_path / "a.py").unlink()
+    (tmp_path / "b.py").write_text("x = 2\n")
+    (tmp_path / "c.py").write_text("")
+    assert rows(git.changed(spark, str(tmp_path)), "path") == [("b.py",), ("c.py",)]
+    assert rows(git.changed(spark, str(tmp_path), "HEAD", spark.createDataFrame([("a.py",), ("z.py",)], "path string")), "path") == [("a.py",), ("b.py",), ("c.py",)]
+
+
 def test_gain_scopes_and_sinks(spark, tmp_path):
     one, two = str(tmp_path / "repo"), str(tmp_path / "all")
     line = spark.createDataFrame([(1.0, "map", 100, 40, 60, "r"), (2.0, "read", 50, 50, 0, "r")], ledger.SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 from collections.abc import Iterator
@@ -96,10 +97,13 @@ def blame(spark: SparkSession, root: str, path: str, first: int = 1, last: int |
     return spark.createDataFrame(rows, "path string, line_no long, sha string, author string, ts long, summary string")
 
 
-def changed(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """Distinct paths that differ from the base (the work tree's index without one), and untracked ones."""
+def changed(spark: SparkSession, root: str, base: str | None = None, indexed: DataFrame | None = None) -> DataFrame:
+    """Distinct paths that differ from the base (the work tree's index without one), and untracked ones. A path that is gone from the tree
+    counts only if `indexed` (path), the files of a corpus, has it."""
     out = git(root, "diff", *([base] if base else []), "--name-only", "-z") + "\0" + git(root, "ls-files", "--others", "--exclude-standard", "-z")
-    return spark.createDataFrame([(p,) for p in sorted({p for p in out.split("\0") if p})], "path string")
+    found = spark.createDataFrame([(p, os.path.exists(os.path.join(root, p))) for p in sorted({p for p in out.split("\0") if p})], "path string, there boolean")
+    here = found.where("there").select("path")
+    return here if indexed is None else here.unionByName(found.where("not there").join(indexed.select("path"), "path", "left_semi").select("path"))
 
 
 def show(spark: SparkSession, root: str, ref: str, paths: list[str]) -> DataFrame:
