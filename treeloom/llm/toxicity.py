@@ -148,10 +148,17 @@ def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, co
     return w
 
 
+def plain(text: str) -> str:
+    """The text in lower case without ASCII punctuation, which also hides nothing inside a word."""
+    return re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower())
+
+
 def own_words(text: str) -> list[str]:
-    """The lower-case words of a text without ASCII punctuation, which also hides nothing inside a word; before a run of SPELT
-    or more single characters the word they spell."""
-    own = re.sub(r"[^\w\s\x80-\U0010ffff]|_", "", text.lower()).split()
+    """The words of a text made plain; before a run of SPELT or more single characters the word they spell."""
+    return with_spelt(plain(text).split())
+
+
+def with_spelt(own: list[str]) -> list[str]:
     if list(map(len, own)).count(1) < SPELT:
         return own
     out: list[str] = []
@@ -244,8 +251,8 @@ class Bags:
         docs, first, suspect, pairs = [], [], [], []
         for d, (text, label) in enumerate(rows):
             bag: set[int] = set()
-            for part in SENTENCE.split(text):
-                own = [index.setdefault(w, len(index)) for w in own_words(part)]
+            for part in plain(SENTENCE.sub("\n", text)).split("\n"):
+                own = [index.setdefault(w, len(index)) for w in with_spelt(part.split())]
                 bag.update(own)
                 for i in range(0, len(own), WINDOW):
                     ids = tuple(own[i : i + WINDOW])
