@@ -55,8 +55,11 @@ def root(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def corpus(spark, root):
-    return Corpus.scan(spark, root)
+def corpus(spark, root, tmp_path_factory):
+    """Scanned, stored and loaded."""
+    where = str(tmp_path_factory.mktemp("stored") / "corpus")
+    Corpus.scan(spark, root).save(where)
+    return Corpus.load(spark, where)
 
 
 def rows(df, *columns):
