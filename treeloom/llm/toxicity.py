@@ -98,14 +98,14 @@ class Machine:
     def words(self, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The decision value of each word."""
         out = np.zeros(len(starts))
-        for a in range(0, len(starts), 10_000):
-            word, key, weight = features(chars, starts[a : a + 10_000], lengths[a : a + 10_000])
-            many = len(starts[a : a + 10_000])
+        for a in range(0, len(starts), 2_000):
+            word, key, weight = features(chars, starts[a : a + 2_000], lengths[a : a + 2_000])
+            many = len(starts[a : a + 2_000])
             hits = np.bincount(word, self.slot[key] > 0, many) > 0  # no hit: the kernel is 0 with every landmark
             keep = hits[word]
             owner, feature, sums, norms = by_word(word[keep], key[keep], weight[keep], many)
             dots = np.bincount(owner, sums * self.rows[self.slot[feature]], many)
-            out[a : a + 10_000] = dots / np.maximum(norms, 1e-12)
+            out[a : a + 2_000] = dots / np.maximum(norms, 1e-12)
         return out + self.bias
 
     def probability(self, tops: np.ndarray) -> np.ndarray:
@@ -126,8 +126,8 @@ def kernel(own: list[str], landmarks: list[str]) -> np.ndarray:
     keep = at > 0
     out = np.zeros((len(own), len(landmarks)))
     owner, sums, at = a[0][keep], a[2][keep], at[keep]
-    for i in range(0, len(own), 300):
-        lo, hi = np.searchsorted(owner, [i, i + 300])
+    for i in range(0, len(own), 100):
+        lo, hi = np.searchsorted(owner, [i, i + 100])
         if lo < hi:
             firsts = np.flatnonzero(np.append(True, owner[lo + 1 : hi] != owner[lo : hi - 1]))
             out[owner[lo:hi][firsts]] = np.add.reduceat(sums[lo:hi, None].astype(np.float32) * dense[at[lo:hi]], firsts)
@@ -139,9 +139,14 @@ def svm(x: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, co
     w = np.zeros(x.shape[1])
     reg = np.append(np.ones(x.shape[1] - 1), 1e-3)
     for _ in range(30):
-        active = y * (x @ w) < margin
-        xa, wa = x[active], cost * weight[active]
-        new = np.linalg.solve((xa * wa[:, None]).T @ xa + np.diag(reg), xa.T @ (wa * (y * margin)[active]))
+        gram, side = np.diag(reg), np.zeros(x.shape[1])
+        for a in range(0, len(x), 1000):  # sums in double precision, a block at a time
+            part, own = x[a : a + 1000].astype(np.float64), slice(a, a + 1000)
+            active = y[own] * (part @ w) < margin[own]
+            part, each = part[active], cost * weight[own][active]
+            gram += (part * each[:, None]).T @ part
+            side += part.T @ (each * (y[own] * margin[own])[active])
+        new = np.linalg.solve(gram, side)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -184,8 +189,8 @@ def spelt(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bounds: np
 def apart(ranked: list[str], many: int, near: float = 0.5) -> list[str]:
     """The first words of the ranking that are no closer than `near` to one before."""
     chosen: list[str] = []
-    for a in range(0, len(ranked), 500):
-        block = ranked[a : a + 500]
+    for a in range(0, len(ranked), 150):
+        block = ranked[a : a + 150]
         if len(chosen) >= many:
             break
         close = kernel(block, chosen).max(axis=1) if chosen else np.zeros(len(block))
@@ -204,8 +209,8 @@ def machine_of(marks: list[str], pos: list[str], neg: list[str], margin: np.ndar
     root = vectors[:, keep] / np.sqrt(values[keep])
     both = pos + neg
     x = np.ones((len(both), root.shape[1] + 1), np.float32)
-    for a in range(0, len(both), 2_000):
-        x[a : a + 2_000, :-1] = kernel(both[a : a + 2_000], marks) @ root
+    for a in range(0, len(both), 500):
+        x[a : a + 500, :-1] = kernel(both[a : a + 500], marks) @ root
     w = svm(x, np.append(np.ones(len(pos)), -np.ones(len(neg))), np.append(margin, np.ones(len(neg))), np.append(up, down / max(1e-9, down.sum()) * np.sqrt(up).sum() * 20), cost)
     alpha = root @ w[:-1]
     owner, feature, sums, norms = by_word(*features(*spell(marks)), len(marks))
@@ -260,10 +265,10 @@ class Bags:
                     if s == len(first):
                         first.append(d)
                         suspect.append(bool(label))
-                        pairs.append(np.fromiter({*ids}, np.int64))
+                        pairs.append(np.fromiter({*ids}, np.int32))
                     suspect[s] &= bool(label)
-            docs.append(np.sort(np.fromiter(bag, np.int64)))
-        word = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+            docs.append(np.sort(np.fromiter(bag, np.int32)))
+        word = np.concatenate(pairs) if pairs else np.zeros(0, np.int32)
         return cls(list(index), np.array([int(y) for _, y in rows]), docs, np.repeat(np.arange(len(pairs)), [len(x) for x in pairs]), word, np.array(first, np.int64), np.array(suspect, bool))
 
 
@@ -278,8 +283,8 @@ class Trainer:
         self.spelt = spell(self.bags.names)
         chars, starts, lengths = self.spelt
         parts = []
-        for a in range(0, len(starts), 20_000):  # a run's word and its run come in order of the word
-            word, key, _ = features(chars, starts[a : a + 20_000], lengths[a : a + 20_000], ((1, 2, 3),))
+        for a in range(0, len(starts), 5_000):  # a run's word and its run come in order of the word
+            word, key, _ = features(chars, starts[a : a + 5_000], lengths[a : a + 5_000], ((1, 2, 3),))
             parts.append(((word + a).astype(np.int32), key.astype(np.int32)))
         self.gram_word, key = (np.concatenate(x) for x in zip(*parts, strict=True))
         unique, inverse = np.unique(key, return_inverse=True)
@@ -350,6 +355,7 @@ class Trainer:
             hard = [b.names[i] for i in near[np.lexsort((near, -value))][:2000][np.sort(-value)[:2000] < 0.95].tolist()]
             negative |= dict.fromkeys(hard)
             marks = sorted({*marks_toxic, *common[:landmarks // 4], *apart(hard[:1000], landmarks // 4)})
+        give_back()
         halves = [(w[:i], w[i:]) for w in (b.names[i] for i in firm[:2000]) for i in range(1, len(w))]
         machine.left, machine.right = (np.unique(hashes_of([h[k] for h in halves])) for k in (0, 1))
         return machine, [b.names[i] for i in firm]
