@@ -325,6 +325,28 @@ def test_cochange_of_large_commits(spark):
     assert whole == cut and len(whole) == 780 and ("p001", "p002", 2) in whole
 
 
+def test_cochange_tasks_do_not_grow_with_the_pairs(spark, monkeypatch):
+    import itertools
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(history, "TASK_ROWS", 2000, raising=False)
+    r = random.Random(5)
+    commits = {c: sorted(r.sample(range(3000), 100 if c == 7 else 20)) for c in range(400)}
+    given = [(c, p) for c, paths in commits.items() for p in paths + paths[:2]] + [(None, 1), (None, 2), (1, None), (2, None)]
+    pairs = Counter(x for paths in commits.values() for x in itertools.combinations(paths, 2))
+    sc = spark.sparkContext
+    sc.setJobGroup("cochange tasks", "")
+    got = [tuple(x) for x in history.cochange(spark.createDataFrame(given, "commit long, path long"), 50, 30).collect()]
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == sorted(((*x, n) for x, n in pairs.items()), key=lambda x: (-x[2], x[0], x[1]))[:50]
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("cochange tasks") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [t.taskMetrics().get() for s in stages for ts in [sc._jsc.sc().statusStore().taskList(s, 0, 10_000)] for t in map(ts.apply, range(ts.size()))]
+    most = max(max(m.shuffleReadMetrics().recordsRead(), m.shuffleWriteMetrics().recordsWritten()) for m in tasks)
+    assert len(pairs) > 70_000 and sum(m.shuffleWriteMetrics().recordsWritten() for m in tasks) > 70_000 and most < 8500  # 8,804 rows are given, by 4 tasks
+
+
 def test_review_preflight_impact_and_diff_pack(spark, root, corpus):
     base = corpus
     more = {**FILES, "src/emailer.py": FILES["src/emailer.py"] + "def brand_new_helper(x: int) -> int:\n    return x\n", "src/services/user_service.py": SERVICE.replace("email: str) -> dict", "email: str, name = None) -> dict")}

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as C
 
+TASK_ROWS = 1_000_000  # rows or pairs that one task counts
+MOST_TASKS = 20_000  # beyond, tasks grow and spill
+
 
 def latest(commits: DataFrame, n: int = 2000) -> DataFrame:
     """The n newest of (commit, ts), ties by commit; a top-k, never a full sort."""
@@ -49,18 +54,35 @@ def neighbors(commit_files: DataFrame, target: object, top: int = 10) -> DataFra
     return rows.where(F.col("path") != F.lit(target)).join(own, "commit", "left_semi").groupBy("path").agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "path").limit(top)
 
 
+def _tasks(df: DataFrame, rows: float) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, math.ceil(rows / TASK_ROWS)))
+
+
 def cochange(commit_files: DataFrame, top: int, block: int = 500) -> DataFrame:
     """The top pairs (a < b) over all commits. All pairs of a commit are what the operator counts; a commit of more than `block`
-    paths is dealt to blocks, and each pair of blocks meets under a key of its own."""
-    rows = commit_files.select("commit", "path").distinct()
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    large = rows.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > block).select("commit", blocks.alias("blocks"))
-    # only large commits are copied, as often as they have blocks; in the rest all paths share block 0
-    dealt = rows.join(large, "commit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = dealt.select("commit", F.col("path").alias("a"), F.col("own").alias("i"), others.alias("j"))
-    b = dealt.select("commit", F.col("path").alias("b"), F.col("own").alias("j"), others.alias("i"))
-    return a.join(b, ["commit", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes")).orderBy(F.desc("co_changes"), "a", "b").limit(top)
+    paths is dealt to blocks, and each two blocks meet under a key of their own.
+
+    Rows and pairs are counted first (two jobs), so that each task gets about TASK_ROWS of them, whatever partitions the session would choose."""
+    given = commit_files.select("commit", "path")
+    shares = _tasks(given, given.count())
+    rows = given.where(F.col("commit").isNotNull() & F.col("path").isNotNull()).repartition(shares, "commit", "path").distinct()
+    per = rows.repartition(shares, "commit").groupBy("commit").agg(F.count("*").alias("n"))
+    n = F.col("n").cast("double")
+    most, paths, pairs = per.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum(n), F.lit(0.0)), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0))).first()
+    if most > block:  # only large commits are copied, as often as they have blocks; in the rest all paths share block 0
+        large = per.where(F.col("n") > block).select("commit", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        rows = rows.join(large, "commit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("commit", "path", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    else:
+        rows = rows.select("commit", "path", *(F.lit(0).alias(c) for c in ("own", "i", "j")))
+    tasks = _tasks(given, paths + pairs)
+    # many more keys than tasks, so that tasks are alike; counting by them first sends a frequent pair a few times a task only
+    dealt = rows.withColumn("key", F.pmod(F.xxhash64("commit", "i", "j"), F.lit(64 * tasks)).cast("int")).repartition(tasks, "key")
+    later = Window.partitionBy("key", "commit", "i", "j").orderBy("path").rowsBetween(1, Window.unboundedFollowing)
+    met = dealt.withColumn("later", F.collect_list(F.struct("path", "own")).over(later)).withColumn("with", F.explode("later")).where((F.col("i") == F.col("j")) | (F.col("own") != F.col("with.own")))
+    counted = met.groupBy("key", F.col("path").alias("a"), F.col("with.path").alias("b")).agg(F.count("*").alias("n"))
+    return counted.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("co_changes")).orderBy(F.desc("co_changes"), "a", "b").limit(top)
 
 
 def ownership(blame: DataFrame) -> DataFrame:
